@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,17 @@ BEYOND_CATEGORY = "Beyond the AQI"
 SCALE_TOP = 500
 
 
+TENTHS = 3254  # last truncated value of the table, in tenths
+BEYOND = len(BREAKPOINTS)  # band code above the table
+INVALID = BEYOND + 1  # band code of negative readings; every lookup of it is null
+
+
+def tenths(v: str | Column) -> Column:
+    """Whole tenths of a reading; NaN and infinities have none."""
+    v = F.col(v) if isinstance(v, str) else v
+    return F.floor(F.when(v < float("inf"), v) * F.lit(10.0))
+
+
 def truncate_concentration(v: str | Column) -> Column:
     """Cut, not round, to one decimal in binary double arithmetic."""
     v = F.col(v) if isinstance(v, str) else v
@@ -35,35 +46,57 @@ def is_invalid(v: str | Column) -> Column:
     return is_infinite(v) | F.coalesce(v < 0, F.lit(False))
 
 
-def _by_band(c: Column, pick: Callable[[tuple], Column], beyond: Column) -> Column:
-    chain = F.when(c.isNull(), F.lit(None))
-    for band in BREAKPOINTS:
-        chain = chain.when(c <= F.lit(band[1]), pick(band))
-    return chain.otherwise(beyond)
+def _band_table() -> bytes:
+    """One digit per tenth of the scale, preceded by the code of negative readings."""
+    codes = [INVALID]
+    for code, band in enumerate(BREAKPOINTS):
+        codes += [code] * (round(band[1] * 10) + 2 - len(codes))
+    return "".join(str(c) for c in [*codes, BEYOND]).encode()
+
+
+def band_code(k: Column) -> Column:
+    """Band of a reading in tenths.
+
+    One access to a constant byte table. A chain of comparisons would repeat its
+    input per arm, and filters pushed through several such columns then outgrow
+    what the code generator can compile.
+    """
+    # `least` skips nulls, hence the guard.
+    position = F.when(k.isNotNull(), F.greatest(F.least(k, F.lit(TENTHS + 1)), F.lit(-1)) + 2).cast("int")
+    digit = F.substring(F.lit(_band_table()), position, F.lit(1)).cast("string")
+    return F.ascii(digit) - F.ascii(F.lit("0"))
+
+
+def _attribute(code: Column, values: Sequence[object]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), code)
 
 
-def index_value(c: Column) -> Column:
-    """Piecewise linear index of a truncated concentration, halves rounded up."""
+def _column(position: int) -> list:
+    """Table column by band; values above the table use the last band."""
+    values = [band[position] for band in BREAKPOINTS]
+    return [*values, values[-1]]
 
-    def line(band: tuple) -> Column:
-        low, high, index_low, index_high = band[:4]
-        slope = float(index_high - index_low) / (high - low)
-        return F.floor(F.lit(slope) * (c - F.lit(low)) + F.lit(float(index_low)) + F.lit(0.5))
 
-    return _by_band(c, line, line(BREAKPOINTS[-1]))
+def index_value(k: Column, code: Column) -> Column:
+    """Interpolated index of a reading in tenths, halves rounded up; the last interval extends beyond the table."""
+    slopes = [float(b[3] - b[2]) / (b[1] - b[0]) for b in BREAKPOINTS]
+    slope = _attribute(code, [*slopes, slopes[-1]])
+    low = _attribute(code, _column(0))
+    base = _attribute(code, [float(v) for v in _column(2)])
+    return F.floor(slope * (k / F.lit(10.0) - low) + base + F.lit(0.5))
 
 
-def category(c: Column) -> Column:
-    return _by_band(c, lambda b: F.lit(b[4]), F.lit(BEYOND_CATEGORY))
+def category(code: Column) -> Column:
+    return _attribute(code, [*[band[4] for band in BREAKPOINTS], BEYOND_CATEGORY])
 
 
-def colour_name(c: Column) -> Column:
-    return _by_band(c, lambda b: F.lit(b[5]), F.lit(BREAKPOINTS[-1][5]))
+def colour_name(code: Column) -> Column:
+    return _attribute(code, _column(5))
 
 
-def colour_hex(c: Column) -> Column:
-    return _by_band(c, lambda b: F.lit(b[6]), F.lit(BREAKPOINTS[-1][6]))
+def colour_hex(code: Column) -> Column:
+    return _attribute(code, _column(6))
 
 
-def severity(c: Column) -> Column:
-    return _by_band(c, lambda b: F.lit(b[7]), F.lit(BREAKPOINTS[-1][7]))
+def severity(code: Column) -> Column:
+    return _attribute(code, _column(7))

@@ -63,11 +63,9 @@ LEVEL_RANK = {"NORMAL": 0, "ADVISORY": 1, "WARNING": 2, "SEVERE": 3, "EMERGENCY"
 
 
 def _config(category: Column, position: int, kind: str) -> Column:
-    chain = None
-    for name, values in ALERT_CONFIG.items():
-        test, value = category == name, F.lit(values[position]).cast(kind)
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return chain
+    """One constant-map access; null for a category without configuration."""
+    pairs = [x for name, values in ALERT_CONFIG.items() for x in (F.lit(name), F.lit(values[position]).cast(kind))]
+    return F.try_element_at(F.create_map(*pairs), category)
 
 
 def assign_alerts(df: DataFrame) -> DataFrame:
@@ -195,10 +193,6 @@ def episode_impact(episodes: DataFrame, alerted: DataFrame, keys: Sequence[str],
     )
 
 
-def level_rank(column: str) -> Column:
-    return F.create_map(*[F.lit(x) for pair in LEVEL_RANK.items() for x in pair])[F.col(column)]
-
-
 def filter_episodes(episodes: DataFrame, minimum_level: str | None = None, hazardous_only: bool = False) -> DataFrame:
     """Episodes at or above a level, optionally hazardous ones only."""
     if minimum_level is not None:

@@ -19,21 +19,21 @@ def pm25_to_aqi(df: DataFrame, v: str, names: dict[str, str] | None = None) -> D
     Missing stays missing. Infinite or negative readings give null here and are
     listed by `invalid_concentrations`. `names` renames the added columns.
     """
-    clean = F.when(~aqi.is_invalid(v) & ~F.isnan(v), F.col(v).cast("double"))
-    # A staged column keeps the chain of comparisons on one evaluated value.
-    staged = df.withColumn("_c", aqi.truncate_concentration(clean))
-    c = F.col("_c")
+    staged = df.withColumn("_k", aqi.tenths(v))
+    staged = staged.withColumn("_code", aqi.band_code(F.col("_k")))
+    staged = staged.withColumn("_aqi", aqi.index_value(F.col("_k"), F.col("_code")))
+    code = F.col("_code")
     columns = {
-        "pm25_ug_m3_truncated": c,
-        "aqi": aqi.index_value(c),
-        "aqi_category": aqi.category(c),
-        "aqi_color_name": aqi.colour_name(c),
-        "aqi_color_hex": aqi.colour_hex(c),
-        "aqi_severity_rank": aqi.severity(c),
-        "is_beyond_aqi": aqi.index_value(c) > aqi.SCALE_TOP,
+        "pm25_ug_m3_truncated": F.when(F.col("_k") >= 0, F.col("_k") / F.lit(10.0)),
+        "aqi": F.col("_aqi"),
+        "aqi_category": aqi.category(code),
+        "aqi_color_name": aqi.colour_name(code),
+        "aqi_color_hex": aqi.colour_hex(code),
+        "aqi_severity_rank": aqi.severity(code),
+        "is_beyond_aqi": F.col("_aqi") > aqi.SCALE_TOP,
     }
     names = names or {}
-    return staged.withColumns({names.get(k, k): col for k, col in columns.items()}).drop("_c")
+    return staged.withColumns({names.get(k, k): col for k, col in columns.items()}).drop("_k", "_code", "_aqi")
 
 
 def invalid_concentrations(df: DataFrame, v: str) -> DataFrame:
@@ -66,13 +66,13 @@ def rolling_24h(
 ) -> DataFrame:
     """Trailing mean over `hours`, null unless every hour is present, with its provenance counts."""
     frame = hour_window(keys).rangeBetween(-(hours - 1), 0)
-    present = F.count(v).over(frame)
-    out = (
-        halo(df, t, back=hours - 1)
-        .withColumn("_present", present)
-        .withColumn("_sum", F.sum(fixed_point(v)).over(frame))
-        .withColumn("rolling_observed_hour_count", F.count_if(F.col(source) == "observed").over(frame))
-        .withColumn("rolling_predicted_hour_count", F.count_if(F.col(source) == "predicted").over(frame))
+    out = halo(df, keys, t, back=hours - 1).withColumns(
+        {
+            "_present": F.count(v).over(frame),
+            "_sum": F.sum(fixed_point(v)).over(frame),
+            "rolling_observed_hour_count": F.count(F.when(F.col(source) == "observed", 1)).over(frame),
+            "rolling_predicted_hour_count": F.count(F.when(F.col(source) == "predicted", 1)).over(frame),
+        }
     )
     out = (
         own_rows(out)

@@ -12,7 +12,7 @@ from airloom.operators.quantiles import exact_quantiles
 from airloom.operators.series import numbered_hours
 
 # Horizon groups (name, first, last) and the severe threshold.
-HORIZON_GROUPS = (("1-6h", 1, 6), ("7-12h", 7, 12), ("13-24h", 13, 24), ("25-48h", 25, 48), ("49-72h", 49, 72))
+HORIZON_GROUPS = (("1_6", 1, 6), ("7_12", 7, 12), ("13_24", 13, 24), ("25_48", 25, 48), ("49_72", 49, 72))
 SEVERE = 55.5
 PERSISTENCE_MAX = 12
 # Concentration bands (name, exclusive upper bound).

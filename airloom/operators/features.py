@@ -39,17 +39,17 @@ def _changes(w: WindowSpec, v: str, hours: Sequence[int]) -> dict[str, Column]:
 
 def lag_features(df: DataFrame, keys: Sequence[str], t: str, v: str, hours: Sequence[int] = LAGS) -> DataFrame:
     """Readings exactly n hours earlier; null when that hour is missing."""
-    return own_rows(halo(df, t, back=max(hours)).withColumns(_lags(hour_window(keys), v, hours)))
+    return own_rows(halo(df, keys, t, back=max(hours)).withColumns(_lags(hour_window(keys), v, hours)))
 
 
 def rolling_means(df: DataFrame, keys: Sequence[str], t: str, v: str, windows: Sequence[int] = MEANS) -> DataFrame:
     """Trailing means including the current hour; null unless every hour is present."""
-    return own_rows(halo(df, t, back=max(windows) - 1).withColumns(_means(hour_window(keys), v, windows)))
+    return own_rows(halo(df, keys, t, back=max(windows) - 1).withColumns(_means(hour_window(keys), v, windows)))
 
 
 def change_features(df: DataFrame, keys: Sequence[str], t: str, v: str, hours: Sequence[int] = CHANGES) -> DataFrame:
     """Difference to the reading n hours earlier."""
-    return own_rows(halo(df, t, back=max(hours)).withColumns(_changes(hour_window(keys), v, hours)))
+    return own_rows(halo(df, keys, t, back=max(hours)).withColumns(_changes(hour_window(keys), v, hours)))
 
 
 def circular_encode(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -70,7 +70,7 @@ def history_columns(w: WindowSpec, v: str) -> dict[str, Column]:
 
 def reference_features(df: DataFrame, keys: Sequence[str], t: str = "datetime_utc", v: str = "pm25_ug_m3") -> DataFrame:
     """Every reference-hour feature of a canonical table: one exchange, one sort."""
-    out = halo(df, t, back=max(LAGS)).withColumns(history_columns(hour_window(keys), v))
+    out = halo(df, keys, t, back=max(LAGS)).withColumns(history_columns(hour_window(keys), v))
     out = own_rows(out).withColumn("pm25_current", F.col(v)).withColumn("reference_time", F.col(t))
     out = circular_encode(out, "wind_direction_10m", "wind_direction_10m")
     out = calendar_features(out, "reference_time", "reference_")

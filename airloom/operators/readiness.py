@@ -39,7 +39,7 @@ def readiness_candidates(
     fresh = plus_hours(now, -freshness)
     recent = pollution.filter(F.col(t) >= from_hour)
     checked = own_rows(
-        halo(recent, t, back=history).withColumn(
+        halo(recent, keys, t, back=history).withColumn(
             "_present", F.count(v).over(hour_window(keys).rangeBetween(-history, 0))
         )
     ).filter((F.col(v) > 0) & (F.col(t) >= fresh))

@@ -28,15 +28,24 @@ def bucket_of(hour: Column, bucket_hours: int = BUCKET_HOURS) -> Column:
     return F.floor(hour / F.lit(bucket_hours))
 
 
-def halo(df: DataFrame, t: str, back: int = 0, ahead: int = 0, bucket_hours: int = BUCKET_HOURS) -> DataFrame:
-    """Add `_hour` and `_bucket`; a row appears in each bucket whose frames can see it."""
+def halo(
+    df: DataFrame, keys: Sequence[str], t: str, back: int = 0, ahead: int = 0, bucket_hours: int = BUCKET_HOURS
+) -> DataFrame:
+    """Add `_hour` and `_bucket`; a row appears in each bucket whose frames can see it.
+
+    The result is partitioned by (keys, bucket), which is the one exchange the
+    windows on it need. Stating it also spreads inputs that arrive as one file.
+    """
     if back + ahead >= bucket_hours:
         bucket_hours = back + ahead + 1
-    hour = hour_index(t)
-    return df.withColumn(HOUR, hour).withColumn(
-        BUCKET,
-        F.explode(F.sequence(bucket_of(F.col(HOUR) - ahead, bucket_hours), bucket_of(F.col(HOUR) + back, bucket_hours))),
-    ).withColumn("_home", F.col(BUCKET) == bucket_of(F.col(HOUR), bucket_hours))
+    hour = F.col(HOUR)
+    first, last = bucket_of(hour - ahead, bucket_hours), bucket_of(hour + back, bucket_hours)
+    return (
+        df.withColumn(HOUR, hour_index(t))
+        .withColumn(BUCKET, F.explode(F.sequence(first, last)))
+        .withColumn("_home", F.col(BUCKET) == bucket_of(hour, bucket_hours))
+        .repartition(*keys, BUCKET)
+    )
 
 
 def own_rows(df: DataFrame) -> DataFrame:

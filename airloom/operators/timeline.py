@@ -167,13 +167,17 @@ def impute_short_gaps(
         return grid.withColumn("is_imputed", F.lit(False)).withColumn("imputation_method", F.lit(None).cast("string"))
     w = hour_window(keys)
     back, ahead = w.rangeBetween(-max_gap, -1), w.rangeBetween(1, max_gap)
-    known_hour = F.when(F.col(v).isNotNull(), F.col(HOUR))
     near = (
-        halo(grid, t, back=max_gap, ahead=max_gap)
-        .withColumn("_ph", F.max(known_hour).over(back))
-        .withColumn("_nh", F.min(known_hour).over(ahead))
-        .withColumn("_pv", F.last(v, ignorenulls=True).over(back))
-        .withColumn("_nv", F.first(v, ignorenulls=True).over(ahead))
+        halo(grid, keys, t, back=max_gap, ahead=max_gap)
+        .withColumn("_known", F.when(F.col(v).isNotNull(), F.col(HOUR)))
+        .withColumns(
+            {
+                "_ph": F.max("_known").over(back),
+                "_nh": F.min("_known").over(ahead),
+                "_pv": F.last(v, ignorenulls=True).over(back),
+                "_nv": F.first(v, ignorenulls=True).over(ahead),
+            }
+        )
     )
     usable = (
         F.col(v).isNull()
@@ -189,7 +193,7 @@ def impute_short_gaps(
         .withColumn(v, F.when(F.col("is_imputed"), F.col("_pv") + (F.col(HOUR) - F.col("_ph")) * step).otherwise(F.col(v)))
         .withColumn("imputation_method", F.when(F.col("is_imputed"), F.lit(METHOD)))
     )
-    return own_rows(filled).drop("_ph", "_nh", "_pv", "_nv")
+    return own_rows(filled).drop("_known", "_ph", "_nh", "_pv", "_nv")
 
 
 def window_quality(df: DataFrame, keys: Sequence[str], t: str = "datetime_utc", v: str = "pm25_ug_m3", hours: int = 24) -> DataFrame:
@@ -200,10 +204,11 @@ def window_quality(df: DataFrame, keys: Sequence[str], t: str = "datetime_utc",
     frame = hour_window(keys).rangeBetween(-hours, 0)
     imputed = F.col("is_imputed")
     unresolved = F.col(v).isNull()
-    out = (
-        halo(df, t, back=hours)
-        .withColumn("imputed_timestamps", F.array_sort(F.collect_list(F.when(imputed, F.col(t))).over(frame)))
-        .withColumn("unresolved_timestamps", F.array_sort(F.collect_list(F.when(unresolved, F.col(t))).over(frame)))
+    out = halo(df, keys, t, back=hours).withColumns(
+        {
+            "imputed_timestamps": F.array_sort(F.collect_list(F.when(imputed, F.col(t))).over(frame)),
+            "unresolved_timestamps": F.array_sort(F.collect_list(F.when(unresolved, F.col(t))).over(frame)),
+        }
     )
     out = own_rows(out).withColumn("imputed_hours", F.size("imputed_timestamps"))
     return out.select(

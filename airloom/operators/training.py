@@ -88,10 +88,8 @@ def training_set(
     hours = _with_target_columns(canonical_hours, t)
     target = F.struct(F.col(HOUR).alias("_th"), F.col(v).alias(TARGET), *TARGET_FEATURES)
     usable = _all_present([v, *TARGET_FEATURES])
-    near = (
-        halo(hours, t, back=max(LAGS), ahead=horizons)
-        .withColumns(history_columns(w, v))
-        .withColumn("_targets", F.collect_list(F.when(usable, target)).over(w.rangeBetween(1, horizons)))
+    near = halo(hours, keys, t, back=max(LAGS), ahead=horizons).withColumns(
+        {**history_columns(w, v), "_targets": F.collect_list(F.when(usable, target)).over(w.rangeBetween(1, horizons))}
     )
     out = own_rows(near.filter("_home").filter(F.size("_targets") == horizons))
     out = out.withColumn("pm25_current", F.col(v)).withColumn("reference_time", F.col(t))
