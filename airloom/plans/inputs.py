@@ -172,7 +172,7 @@ def with_ctes(body: str, *names: str) -> str:
 
     for name in names:
         visit(name)
-    head = ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in ordered)
+    head = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n][1]}\n)" for n in ordered)
     return f"WITH {head}\n{body}" if head else body
 
 

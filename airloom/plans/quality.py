@@ -70,7 +70,7 @@ def normalize_measurements(spark, folder):
 
 def weather_payloads(spark, folder):
     """One parallel-array payload per location and day; 'error' payloads lose their last gust value."""
-    day = F.to_date("datetime_utc")
+    day = F.date_format("datetime_utc", "yyyy-MM-dd")
     rows = weather(spark, folder).groupBy("location_key", day.alias("day")).agg(
         F.array_sort(F.collect_list(F.struct("datetime_utc", *WEATHER))).alias("_rows")
     )
@@ -92,7 +92,7 @@ def explode_hourly_arrays(spark, folder):
 
 @query(
     "rejected_payloads",
-    with_ctes("SELECT DISTINCT location_key, CAST(datetime_utc AS DATE) AS day FROM weather WHERE location_key = 'error'", "weather"),
+    with_ctes("SELECT DISTINCT location_key, strftime(datetime_utc, '%Y-%m-%d') AS day FROM weather WHERE location_key = 'error'", "weather"),
 )
 def rejected_payloads(spark, folder):
     return pl.rejected_payloads(weather_payloads(spark, folder), "payload", WEATHER, ["location_key", "day"])

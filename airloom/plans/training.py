@@ -301,18 +301,19 @@ LEFT JOIN imputed p ON p.location_key = f.location_key AND p.datetime_utc = f.re
 _OK = " AND ".join(f"{c} IS NOT NULL" for c in [*MODEL_FEATURES, TARGET])
 cte(
     "train_rows",
-    f"SELECT * FROM (SELECT *, COUNT(DISTINCT forecast_horizon_hours) OVER (PARTITION BY location_key, reference_time) AS hs FROM train_candidates WHERE {_OK}) WHERE hs = 72",
+    f"SELECT t.* FROM train_candidates t JOIN (SELECT location_key, reference_time FROM train_candidates WHERE {_OK} GROUP BY 1, 2 HAVING COUNT(DISTINCT forecast_horizon_hours) = 72) USING (location_key, reference_time) WHERE {_OK}",
     "train_candidates",
 )
 cte(
     "train_bounds",
-    "SELECT list_sort(list(DISTINCT reference_time)) AS h, len(list(DISTINCT reference_time)) AS n FROM train_rows",
+    """SELECT MIN(CASE WHEN k = CAST(floor(n * 0.70::DOUBLE) AS BIGINT) + 1 THEN reference_time END) AS vs,
+  MIN(CASE WHEN k = CAST(floor(n * 0.70::DOUBLE) AS BIGINT) + CAST(floor(n * 0.15::DOUBLE) AS BIGINT) + 1 THEN reference_time END) AS ts
+FROM (SELECT reference_time, row_number() OVER (ORDER BY reference_time) AS k, COUNT(*) OVER () AS n FROM (SELECT DISTINCT reference_time FROM train_rows))""",
     "train_rows",
 )
 cte(
     "train_split",
-    """SELECT t.*, CASE WHEN reference_time < h[CAST(floor(n * 0.70::DOUBLE) AS INT) + 1] THEN 'train' WHEN reference_time < h[CAST(floor(n * 0.70::DOUBLE) AS INT) + CAST(floor(n * 0.15::DOUBLE) AS INT) + 1] THEN 'validation' ELSE 'test' END AS split,
-  h[CAST(floor(n * 0.70::DOUBLE) AS INT) + 1] AS vs, h[CAST(floor(n * 0.70::DOUBLE) AS INT) + CAST(floor(n * 0.15::DOUBLE) AS INT) + 1] AS ts FROM train_rows t, train_bounds""",
+    "SELECT t.*, CASE WHEN reference_time < vs THEN 'train' WHEN reference_time < ts THEN 'validation' ELSE 'test' END AS split, vs, ts FROM train_rows t, train_bounds",
     "train_rows", "train_bounds",
 )
 cte(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+import threading
 import time
+from contextlib import contextmanager
 from pathlib import Path
 
 import duckdb
@@ -47,13 +49,26 @@ def whole(rows: list[tuple]) -> list[tuple]:
     return [tuple(v[:-2] if v.endswith(".0") and v[:-2].lstrip("-").isdigit() else v for v in row) for row in rows]
 
 
+@contextmanager
+def limit(cancel, seconds: float = 75.0):
+    """Cancel one side of a comparison that takes too long."""
+    timer = threading.Timer(seconds, cancel)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+
+
 def compare(spark, con, name: str, build, sql: str | None, folder: str) -> tuple[bool, str]:
     start = time.time()
-    got = build(spark, folder).toPandas()
+    with limit(spark.sparkContext.cancelAllJobs):
+        got = build(spark, folder).toPandas()
     took = time.time() - start
     if sql is None:
         return len(got) > 0, f"rows only: {len(got)} rows {took:.1f}s"
-    want = con.execute(sql).df()
+    with limit(con.interrupt):
+        want = con.execute(sql).df()
     if sorted(got.columns) != sorted(want.columns):
         return False, f"columns differ: spark-only {set(got.columns) - set(want.columns)} sql-only {set(want.columns) - set(got.columns)}"
     a, b = whole(canonical(got)), whole(canonical(want))
