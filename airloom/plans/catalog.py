@@ -1,4 +1,4 @@
 """Imports every plan module, which registers its queries."""
 
-from airloom.plans import alerts, quality, timeline, training  # noqa: F401
+from airloom.plans import alerts, quality, tables, timeline, training  # noqa: F401
 from airloom.plans.registry import QUERIES, SQL  # noqa: F401
