@@ -70,19 +70,17 @@ def complete_training_rows(
     )
 
 
-def training_set(
+def labelled_references(
     canonical_hours: DataFrame,
     keys: Sequence[str],
     t: str = "datetime_utc",
     v: str = "pm25_ug_m3",
     horizons: int = MAX_HORIZON,
 ) -> DataFrame:
-    """Canonical hours -> complete labelled rows, expanding after the last shuffle.
+    """One row per complete reference hour: its features and the packed list of its target hours.
 
-    One window over (key, time bucket) yields both the trailing features and the
-    packed list of the next 72 target hours. Incomplete references are dropped
-    while they are still one row, and the 72-fold explode is the final, narrow
-    step: nothing 72 times larger is ever shuffled or sorted.
+    One window over (key, time bucket) yields both. Split bounds, counts and
+    anything else about references should be computed here, before the expansion.
     """
     w = hour_window(keys)
     hours = _with_target_columns(canonical_hours, t)
@@ -95,14 +93,51 @@ def training_set(
     out = out.withColumn("pm25_current", F.col(v)).withColumn("reference_time", F.col(t))
     out = circular_encode(out, "wind_direction_10m", "wind_direction_10m")
     out = calendar_features(out, "reference_time", "reference_").filter(_all_present(REFERENCE_FEATURES))
-    out = out.select(*keys, "reference_time", *REFERENCE_FEATURES, F.inline("_targets"))
+    return out.select(*keys, "reference_time", *REFERENCE_FEATURES, "_targets")
+
+
+def expand_references(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Packed references -> training rows; a narrow explode that carries any extra columns along."""
+    known = [*keys, "reference_time", *REFERENCE_FEATURES, "_targets"]
+    extra = [c for c in packed.columns if c not in known]
+    out = packed.select(*keys, "reference_time", *REFERENCE_FEATURES, *extra, F.inline("_targets"))
     return (
         out.withColumn("target_time", F.timestamp_seconds(F.col("_th") * 3600))
         .withColumn("forecast_horizon_hours", (F.col("_th") - hour_index("reference_time")).cast("int"))
-        .select(*keys, "reference_time", "target_time", *MODEL_FEATURES, TARGET)
+        .select(*keys, "reference_time", "target_time", *MODEL_FEATURES, TARGET, *extra)
     )
 
 
+def training_set(
+    canonical_hours: DataFrame,
+    keys: Sequence[str],
+    t: str = "datetime_utc",
+    v: str = "pm25_ug_m3",
+    horizons: int = MAX_HORIZON,
+) -> DataFrame:
+    """Canonical hours -> complete labelled rows, expanding after the last shuffle.
+
+    Incomplete references are dropped while they are still one row, and the
+    72-fold explode is the final, narrow step: nothing 72 times larger is ever
+    shuffled or sorted.
+    """
+    return expand_references(labelled_references(canonical_hours, keys, t, v, horizons), keys)
+
+
+def split_training_set(
+    canonical_hours: DataFrame, keys: Sequence[str], t: str = "datetime_utc", v: str = "pm25_ug_m3", horizons: int = MAX_HORIZON
+) -> DataFrame:
+    """Complete, split and purged training rows. Bounds, labels and purge all work on packed references."""
+    packed = labelled_references(canonical_hours, keys, t, v, horizons)
+    bounds = split_bounds(packed)
+    return expand_references(purge_references(chronological_split(packed, bounds=bounds), bounds, horizons), keys)
+
+
+def purge_references(packed: DataFrame, bounds: DataFrame, horizons: int = MAX_HORIZON) -> DataFrame:
+    """Reference purge on packed rows, whose last target is the reference plus the horizon."""
+    return purge_split(packed, horizons=horizons, bounds=bounds)
+
+
 def _with_target_columns(hours: DataFrame, t: str) -> DataFrame:
     """Target-side weather and calendar, computed once per hour instead of once per horizon."""
     out = hours.withColumns({f"target_{c}": F.col(c).cast("double") for c in WEATHER})

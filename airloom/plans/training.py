@@ -335,14 +335,25 @@ def candidates(spark, folder):
     return tr.training_candidates(references(spark, folder), pollution(spark, folder), weather(spark, folder), KEY)
 
 
+@lru_cache(maxsize=8)
+def packed_rows(spark, folder):
+    return tr.labelled_references(canonical_hours(spark, folder), KEY)
+
+
 @lru_cache(maxsize=8)
 def complete_rows(spark, folder):
-    return tr.training_set(canonical_hours(spark, folder), KEY)
+    return tr.expand_references(packed_rows(spark, folder), KEY)
 
 
 @lru_cache(maxsize=8)
 def split_rows(spark, folder):
-    return tr.chronological_split(complete_rows(spark, folder))
+    packed = packed_rows(spark, folder)
+    return tr.expand_references(tr.chronological_split(packed, bounds=tr.split_bounds(packed)), KEY)
+
+
+@lru_cache(maxsize=8)
+def purged_rows(spark, folder):
+    return tr.split_training_set(canonical_hours(spark, folder), KEY)
 
 
 @query("training_candidates", with_ctes(f"SELECT {_ID}, {_r(_SHOWN)} FROM train_candidates", "train_candidates"))
@@ -383,7 +394,9 @@ def chronological_split(spark, folder):
 
 @query("purge_split", with_ctes(f"SELECT {_ID}, split FROM train_purged", "train_purged"))
 def purge_split(spark, folder):
-    return tr.purge_split(split_rows(spark, folder), horizons=72).select(*[c.strip() for c in _ID.split(",")], "split")
+    packed = packed_rows(spark, folder)
+    bounds = tr.split_bounds(packed)
+    return tr.purge_split(split_rows(spark, folder), bounds=bounds).select(*[c.strip() for c in _ID.split(",")], "split")
 
 
 @query(
@@ -399,7 +412,7 @@ def purge_split_rows(spark, folder):
     with_ctes("SELECT split, COUNT(*) AS row_count, COUNT(DISTINCT reference_time) AS reference_count, MIN(reference_time) AS reference_start, MAX(reference_time) AS reference_end, MIN(target_time) AS target_start, MAX(target_time) AS target_end FROM train_purged GROUP BY 1", "train_purged"),
 )
 def describe_split(spark, folder):
-    return tr.describe_split(tr.purge_split(split_rows(spark, folder), horizons=72))
+    return tr.describe_split(purged_rows(spark, folder))
 
 
 @query(
@@ -407,7 +420,7 @@ def describe_split(spark, folder):
     with_ctes("SELECT forecast_horizon_hours, COUNT(CASE WHEN split = 'train' THEN 1 END) AS train_rows, COUNT(CASE WHEN split = 'validation' THEN 1 END) AS validation_rows, COUNT(CASE WHEN split = 'test' THEN 1 END) AS test_rows FROM train_purged GROUP BY 1", "train_purged"),
 )
 def horizon_coverage(spark, folder):
-    return tr.horizon_coverage(tr.purge_split(split_rows(spark, folder), horizons=72))
+    return tr.horizon_coverage(purged_rows(spark, folder))
 
 
 @query(
@@ -421,7 +434,7 @@ FROM (SELECT t.location_key, e.production_training_end, MAX(reference_time) AS l
     ),
 )
 def retraining_eligibility(spark, folder):
-    rows = complete_rows(spark, folder)
+    rows = packed_rows(spark, folder)
     offset = F.when(F.col("location_key") == "view", 700).otherwise(400).cast("bigint")
     ends = rows.groupBy(*KEY).agg(F.min("reference_time").alias("_m")).select(
         *KEY, F.when(F.col("location_key") != "error", plus_hours("_m", offset)).alias("production_training_end")
