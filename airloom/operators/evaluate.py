@@ -155,14 +155,12 @@ def error_distribution(errors: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def chronological_blocks(df: DataFrame, n: int = 3, t: str = "reference_time") -> DataFrame:
     """Distinct reference hours cut into n blocks; the first (count mod n) blocks hold one more."""
-    hours = df.select(t).distinct()
-    total = hours.agg(F.count("*").alias("_c")).scalar()
-    ranked = numbered_hours(hours, [], t)
-    size, extra = F.floor(total / F.lit(n)), total % F.lit(n)
+    ranked = numbered_hours(df.select(t).distinct(), [], t, total="_total")
+    size, extra = F.floor(F.col("_total") / F.lit(n)), F.col("_total") % F.lit(n)
     k = F.col("_number") - 1
     wide = extra * (size + 1)
     block = F.when(k < wide, F.floor(k / (size + 1))).otherwise(extra + F.floor((k - wide) / F.greatest(size, F.lit(1))))
-    return ranked.withColumn("validation_block", F.concat(F.lit("block_"), (block + 1).cast("string"))).drop("_number")
+    return ranked.withColumn("validation_block", F.concat(F.lit("block_"), (block + 1).cast("string"))).drop("_number", "_total")
 
 
 def chronological_stability(df: DataFrame, y: str, p: str, by: Sequence[str] = (), n: int = 3) -> DataFrame:

@@ -58,16 +58,20 @@ def hour_window(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys, BUCKET).orderBy(HOUR)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Column, bucket: Column, name: str = "_number") -> DataFrame:
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Column, bucket: Column, name: str = "_number", total: str | None = None
+) -> DataFrame:
     """1-based position of each row within its key, ordered by (`bucket`, `order`).
 
-    `bucket` must not decrease along `order`. Only the bucket counts meet in one task per key.
+    `bucket` must not decrease along `order`. Only the bucket counts meet in one
+    task per key; they also give the number of rows of the key, added as `total` if named.
     """
     keys = list(keys)
     cut = df.withColumn("_cut", bucket)
     counts = cut.groupBy(*keys, "_cut").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_cut", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    extra = [F.sum("_rows").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = counts.select(*keys, "_cut", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"), *extra)
     local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_cut").orderBy(order)))
     return (
         local.join(offsets, [*keys, "_cut"])
@@ -76,7 +80,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Column, bucket: Column,
     )
 
 
-def numbered_hours(df: DataFrame, keys: Sequence[str], t: str, name: str = "_number", per_run: bool = False) -> DataFrame:
+def numbered_hours(
+    df: DataFrame, keys: Sequence[str], t: str, name: str = "_number", per_run: bool = False, total: str | None = None
+) -> DataFrame:
     """`numbered` along an hourly time column.
 
     `per_run` says that the keys name one forecast run, whose rows the output
@@ -84,7 +90,7 @@ def numbered_hours(df: DataFrame, keys: Sequence[str], t: str, name: str = "_num
     """
     if per_run:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(t)))
-    return numbered(df, keys, F.col(t), bucket_of(hour_index(t)), name)
+    return numbered(df, keys, F.col(t), bucket_of(hour_index(t)), name, total)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], t: str, carry: Sequence[str], prefix: str = "prev_") -> DataFrame:

@@ -170,19 +170,15 @@ def rejection_report(
 def split_bounds(df: DataFrame, t: str = "reference_time", ratios: Sequence[float] = RATIOS) -> DataFrame:
     """One row with the first validation and first test reference hour.
 
-    Splits are cut on *distinct* hours. They are numbered bucket by bucket, and
-    only the two boundary rows are looked up by number.
+    Splits are cut on *distinct* hours. They are numbered bucket by bucket, which
+    also yields their count, and only the two boundary rows are kept.
     """
-    hours = df.select(F.col(t).alias("_t")).distinct()
-    total = hours.agg(F.count("*").alias("_n"))
-    train = F.floor(F.col("_n") * F.lit(float(ratios[0])))
-    validation = F.floor(F.col("_n") * F.lit(float(ratios[1])))
-    first_validation = total.select((train + 1).alias("_k")).scalar()
-    first_test = total.select((train + validation + 1).alias("_k")).scalar()
-    ranked = numbered_hours(hours, [], "_t")
+    ranked = numbered_hours(df.select(F.col(t).alias("_t")).distinct(), [], "_t", total="_total")
+    train = F.floor(F.col("_total") * F.lit(float(ratios[0])))
+    validation = F.floor(F.col("_total") * F.lit(float(ratios[1])))
     return ranked.agg(
-        F.min(F.when(F.col("_number") == first_validation, F.col("_t"))).alias("validation_start"),
-        F.min(F.when(F.col("_number") == first_test, F.col("_t"))).alias("test_start"),
+        F.min(F.when(F.col("_number") == train + 1, F.col("_t"))).alias("validation_start"),
+        F.min(F.when(F.col("_number") == train + validation + 1, F.col("_t"))).alias("test_start"),
     )
 
 
