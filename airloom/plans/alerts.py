@@ -264,7 +264,7 @@ def query_forecast(spark, folder):
 
 @query("display_time", "SELECT event_id, ts, ts + INTERVAL 5 HOUR AS display_time FROM events")
 def display_time(spark, folder):
-    return sv.display_time(events(spark, folder).select("event_id", "ts"), "ts", "Asia/Karachi")
+    return sv.display_time(events(spark, folder).select("event_id", "ts"), "ts", "Asia/Tashkent")
 
 
 @query(

@@ -58,8 +58,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(build: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        PLAIN[name] = build
-        QUERIES[name] = lambda spark, folder: present(build(spark, folder))
+        def plain(spark: SparkSession, folder: str) -> DataFrame:
+            # Every stamp is UTC, whatever session the caller brings.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return build(spark, folder)
+
+        PLAIN[name] = plain
+        QUERIES[name] = lambda spark, folder: present(plain(spark, folder))
         if sql is not None:
             SQL[name] = sql
         return build
