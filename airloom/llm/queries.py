@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, neighbours, packing, secret_scan, token_counts, url_filter
+from airloom.llm import bpe, near_dup, neighbours, packing, secret_scan, token_counts, url_filter
 from airloom.llm.common import read
 from airloom.session import scratch_path
 
@@ -131,3 +131,9 @@ def op10_packing(spark, sf_dir):
     """All documents as sequences of words in length buckets and batches."""
     docs = read(spark, sf_dir, "documents").select("doc_id", packing.n_words(F.col("text")).alias("n_words"))
     return packing.pack(docs)
+
+
+@query
+def op2_near_dup(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
