@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, near_dup, neighbours, packing, secret_scan, token_counts, url_filter
+from airloom.llm import bpe, near_dup, neighbours, ngram_model, packing, secret_scan, token_counts, url_filter
 from airloom.llm.common import read
 from airloom.session import scratch_path
 
@@ -137,3 +137,10 @@ def op10_packing(spark, sf_dir):
 def op2_near_dup(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_quality_rules(spark, sf_dir):
+    """Base figures, perplexity and verdict of all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return ngram_model.judge(docs, keep_text=False).drop("lang")
