@@ -3,7 +3,7 @@
 Texts are modelled as lower-cased bytes and an end mark, bit by bit. For contexts of the last 0 to 5 bytes, hashed
 tables hold how often each bit came as 0 and as 1 after the same context and the same leading bits of the byte. The
 log odds of all contexts are mixed by weights that a gate selects (place in the byte, longest context
-known); the weights are learned online, batch by batch, in parallel shards whose results are averaged between
+known and how well it is known); the weights are learned online, batch by batch, in parallel shards whose results are averaged between
 rounds. A last map from gate and mixed odds to what really came refines the probability.
 
 Spark counts the six-byte windows of the whole training text, so what is gathered grows with the corpus; the tables
@@ -29,10 +29,10 @@ ORDER = 5
 SLOTS = 1 << 21  # of each longer context's table
 SIZES = (1 << 8, 1 << 16, *[SLOTS] * (ORDER - 1))
 PRIOR = 0.05
-GATES = 8 * (ORDER + 2)
+GATES = 8 * (ORDER + 2) * 3
 BUCKETS = 49  # of the refinement, three to a unit of log odds
 ROUNDS = 3
-RATE = 0.02
+RATE = 0.1  # of a diagonal Newton step
 BATCH = 8_192
 END = 0xFF  # never a byte of UTF-8
 FREQUENT = 500_000  # words whose counts every task holds; the others are joined
@@ -70,15 +70,17 @@ class Model:
         """Log odds by context, gate and the bit itself; `without` takes one occurrence of the window out."""
         real = (grams >> (7 - bit)) & 1
         odds = np.empty((len(grams), ORDER + 2), np.float64)
-        known = np.zeros(len(grams), np.int64)
+        known, seen = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
         for order in range(ORDER + 1):
             n = self.counts[order][slots(grams, order, bit)].astype(np.float64)
             if without:
                 n[np.arange(len(grams)), real] = np.maximum(n[np.arange(len(grams)), real] - 1, 0)
             odds[:, order] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
-            known[n.sum(axis=1) > 0] = order + 1
+            total = n.sum(axis=1)
+            known[total > 0] = order + 1
+            seen = np.where(total > 0, (total > 1).astype(np.int64) + (total > 4), seen)
         odds[:, ORDER + 1] = 0.3
-        return odds, bit * (ORDER + 2) + known, real
+        return odds, (bit * (ORDER + 2) + known) * 3 + seen, real
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip((odds * self.weights[gate]).sum(axis=1), -8, 8)
@@ -173,10 +175,12 @@ def _round(grams: DataFrame, shared) -> np.ndarray:
                 keys, n = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.float64)
                 for bit in range(8):
                     odds, gate, real = model.inputs(keys, bit, True)
-                    error = n * (real - 1 / (1 + np.exp(-model.mixed(odds, gate))))
+                    p = 1 / (1 + np.exp(-model.mixed(odds, gate)))
+                    slope = np.stack([np.bincount(gate, n * (real - p) * odds[:, j], GATES) for j in range(ORDER + 2)], axis=1)
+                    curve = np.stack([np.bincount(gate, n * (p * (1 - p) + 0.001) * odds[:, j] ** 2, GATES) for j in range(ORDER + 2)], axis=1)
                     total = np.bincount(gate, n, GATES)
-                    step = np.stack([np.bincount(gate, error * odds[:, j], GATES) for j in range(ORDER + 2)], axis=1)
-                    model.weights += RATE * step / np.maximum(total, 1)[:, None]
+                    # Gates met a few times take small steps.
+                    model.weights += np.clip(RATE * slope / (curve + 1), -0.05, 0.05)
                     seen += total
         if model is not None:
             rows = [(g, model.weights[g].tolist(), float(seen[g])) for g in range(GATES) if seen[g]]
