@@ -12,7 +12,7 @@ groups, each pass with the pages of its own group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airloom.llm.common import reread
+from airloom.llm.shingles import mix
 
 SHARD_KEYS = 100_000  # listed keys of a shard, about
 GROUP_BYTES = 64 << 20  # largest broadcast
@@ -83,7 +84,7 @@ class Cascade:
         out = n > 0
         for i in range(hashes):
             at = np.flatnonzero(out)
-            bit = positions(a[at], b[at], i, n[at])
+            bit = positions(a[at], b[at], level, i, n[at])
             out[at] = (words[first[shard[at]] + (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
         return out
 
@@ -100,9 +101,10 @@ def shard_of(a: np.ndarray, shards: int) -> np.ndarray:
     return ((a >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
-def positions(a: np.ndarray, b: np.ndarray, i: int, bits: np.ndarray) -> np.ndarray:
-    """The i-th bit of a key in a filter of so many bits, by double hashing."""
-    return ((a >> np.uint64(3)) + np.uint64(i) * ((b >> np.uint64(6)) | np.uint64(1))) % bits.astype(np.uint64)
+def positions(a: np.ndarray, b: np.ndarray, level: int, i: int, bits: np.ndarray) -> np.ndarray:
+    """The i-th bit of a key in a filter of so many bits. Every level hashes anew, so that keys taken for each
+    other at one level part at another."""
+    return mix(mix(a + np.uint64(level * 16 + i)) ^ b) % bits.astype(np.uint64)
 
 
 def _hashes(key: Column) -> tuple[Column, Column]:
@@ -114,28 +116,31 @@ def _unsigned(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _bit_rows(keys: DataFrame, bits: np.ndarray, start: int, hashes: int) -> DataFrame:
+def _bit_rows(keys: DataFrame, bits: np.ndarray, shards: int, level: int, hashes: int) -> DataFrame:
     """Rows (shard, word, bits): the filter words of each shard, combined in every task before they move."""
-    # As `positions`: the shifts leave room for up to seven hashes in a signed number.
-    a, b = F.shiftrightunsigned("a", 3), F.shiftrightunsigned("b", 6).bitwiseOR(F.lit(1))
-    i = F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))
-    size = F.get(F.array(*[F.lit(int(n)) for n in bits]), F.col("shard") - start)  # as many as a group has shards
-    set_ = keys.select("shard", size.alias("bits"), a.alias("a"), b.alias("b"), i.alias("i"))
-    bit = (F.col("a") + F.col("i") * F.col("b")) % F.col("bits")
-    rows = set_.select("shard", bit.alias("bit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = _unsigned(batch.column(0)), _unsigned(batch.column(1))
+            shard = shard_of(a, shards)
+            for i in range(hashes):
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(positions(a, b, level, i, bits[shard]).astype(np.int64))], ["shard", "bit"])
+
+    rows = keys.select("a", "b").mapInArrow(run, "shard long, bit long")
     word = F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))")
     return rows.groupBy("shard", F.expr("bit div 64").alias("word")).agg(word.alias("bits"))
 
 
-def _level(keys: DataFrame, per_key: int, hashes: int, shards: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _level(keys: DataFrame, level: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """One level over all shards of a group: its words (bounded by the group) come to the driver."""
+    per_key, hashes = (FIRST_BITS, HASHES_FIRST) if level == 0 else (LATER_BITS, HASHES_LATER)
     counts = keys.groupBy("shard").agg((F.ceil(F.count(F.lit(1)) * per_key / 64) * 64).cast("long").alias("bits"))
     bits = np.zeros(shards, np.int64)
     for r in counts.collect():
         bits[r["shard"]] = r["bits"]
     first = np.concatenate([[0], np.cumsum(bits // 64)[:-1]]).astype(np.int64)
     words = np.zeros(max(int(bits.sum()) // 64, 1), np.uint64)
-    table = _bit_rows(keys, bits[start:end], start, hashes).toArrow()
+    table = _bit_rows(keys, bits, shards, level, hashes).toArrow()
     at = first[table["shard"].to_numpy()] + table["word"].to_numpy()
     words[at] = table["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return words, first, bits, hashes
@@ -178,7 +183,7 @@ def build(universe: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS,
         inside, outside = own.filter("listed"), own.filter("not listed")
         n, level = n_listed, 0
         while n:
-            cascade.add(*_level(inside, FIRST_BITS if level == 0 else LATER_BITS, HASHES_FIRST if level == 0 else HASHES_LATER, shards, start, end))
+            cascade.add(*_level(inside, level, shards))
             mistaken = reread(spark, _passing(outside, cascade, level), "url-mistakes")
             inside, outside, level = mistaken, inside, level + 1
             n = mistaken.count()
