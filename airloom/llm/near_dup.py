@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from airloom.llm import shingles as sh
 from airloom.llm.common import encoded, reread, sliced
 from airloom.llm.graph import components
-from airloom.llm.linking import Batches, bitmap_filter, links, longs
+from airloom.llm.linking import Batches, bitmap_filter, links, longs, sketches
 
 COORDINATES = 64
 # A pair with similarity 0.75 misses 30 of 64 collisions once in ten million times, and seldom above.
@@ -27,19 +27,19 @@ SLICE = 1 << 20
 
 
 def _units(batch: pa.RecordBatch):
-    """Sets and signatures of the texts in column 1 that have words, and their rows."""
+    """Rows of the texts in column 1 that have words; their sets, signatures, shingles and where these begin."""
     hashes, starts, offsets, _ = sh.words(encoded(batch.column(1)))
     first = np.searchsorted(starts, offsets)
     values, at = sh.shingles(hashes, first)
     rows = np.flatnonzero(np.diff(at))
     ends = np.concatenate([at[rows], [at[-1]]])
-    return rows, sh.sets(values, ends), (sh.coordinates(values, ends, COORDINATES) if len(rows) else np.zeros((0, COORDINATES), np.uint64))
+    return rows, sh.sets(values, ends), (sh.coordinates(values, ends, COORDINATES) if len(rows) else np.zeros((0, COORDINATES), np.uint64)), values, ends
 
 
 def _scan(batches: Batches) -> Batches:
     """(doc_id, n_shingles, id of the set, signature) per row; id and signature are null without words."""
     for batch in sliced(batches, 1, SLICE):
-        rows, sets, signatures = _units(batch)
+        rows, sets, signatures, *_ = _units(batch)
         n, ids, place = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1)
         n[rows], ids[rows], place[rows] = [len(s) for s in sets], [sh.digest(s) for s in sets], np.arange(len(rows))
         posted = longs(list(signatures)).take(pa.array(place, mask=place < 0))
@@ -48,9 +48,10 @@ def _scan(batches: Batches) -> Batches:
 
 def _sets(batches: Batches) -> Batches:
     for batch in sliced(batches, 1, SLICE):
-        rows, sets, signatures = _units(batch)
-        ids = pa.array([sh.digest(s) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, longs(list(signatures)), longs(sets)], ["id", "signature", "set"])
+        rows, sets, signatures, values, at = _units(batch)
+        if len(rows):
+            ids = pa.array([sh.digest(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, longs(list(signatures)), longs(list(sketches(values, at))), longs(sets)], ["id", "signature", "sketch", "set"])
 
 
 def prefix_lists(classes: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # Full sets only of those that are in a list: one text of each, found by its smallest key.
     wanted = reread(spark, classes.select("id", "rep").join(lists.select("id").distinct(), "id", "left_semi"), "wanted")
     maybe = bitmap_filter(spark, wanted, "rep")
-    full = rows.filter("doc_id is not null").filter(maybe("doc_id")).mapInArrow(_sets, "id long, signature array<long>, set array<long>")
+    full = rows.filter("doc_id is not null").filter(maybe("doc_id")).mapInArrow(_sets, "id long, signature array<long>, sketch array<long>, set array<long>")
     full = reread(spark, full.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     found = links(lists, full, percent, MATCHES)
     reps = classes.select("id", "rep")
