@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, context_mix, near_dup, neighbours, ngram_model, packing, secret_scan, token_counts, url_filter
+from airloom.llm import bpe, context_mix, near_dup, neighbours, ngram_model, packing, paragraphs, secret_scan, token_counts, url_filter
 from airloom.llm.common import read
 from airloom.session import scratch_path
 
@@ -150,3 +150,9 @@ def op1_quality_rules(spark, sf_dir):
 def op7_context_mix(spark, sf_dir):
     """Scores of all documents under a model of the nine tenths not held out."""
     return context_mix.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_paragraph_dedup(spark, sf_dir):
+    """Every occurrence of a paragraph that repeats in the documents, the first one kept."""
+    return paragraphs.repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))

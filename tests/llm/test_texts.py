@@ -1,0 +1,144 @@
+"""Operators on single texts against the libraries and plain versions."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+
+from airloom.llm import bpe, packing, queries, secret_scan, token_counts
+from airloom.session import scratch_path
+
+
+def text_of(row):
+    return row["text"] or ""
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary())
+
+
+ODD = ["a<|endoftext|>b <|ENDOFTEXT|> don't İ ΣΑΣ\x1c x\x85y é　z 12345 'S I'll", "日本語😀👍🏽 нет", "a" * 400 + "!?" * 50, "\u0000 \ufb01"]
+
+
+def test_bpe_equals_library(spark, corpus, empty, clashing, library):
+    path = queries.vocabulary()
+    coder = bpe.Bpe(path)
+    for text in ODD:
+        want = library.encode(text, add_special_tokens=False).ids
+        packed = coder.encode(text.encode())
+        ids = [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)]
+        assert ids == want
+        assert coder.decode(ids) == library.decode(want, skip_special_tokens=False)
+    rows = corpus.collect()
+    want = Counter((r["doc_id"], tuple(library.encode(text_of(r), add_special_tokens=False).ids)) for r in rows)
+    out = bpe.round_trip(clashing, path).collect()
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in out) == want
+    assert all(r["decoded"] == library.decode(r["ids"], skip_special_tokens=False) for r in out)
+    again = bpe.decode(bpe.encode(corpus, path), path).collect()
+    assert Counter((r["doc_id"], r["decoded"]) for r in again) == Counter((r["doc_id"], r["decoded"]) for r in out)
+    assert bpe.round_trip(empty, path).count() == 0
+
+
+def test_token_counts_and_cache(spark, corpus, empty, clashing, library):
+    path, cache = queries.vocabulary(), scratch_path(spark, "cache")
+    token_counts.create_cache(spark, cache)
+    want = Counter((r["doc_id"], len(text_of(r).encode()), len(library.encode(text_of(r), add_special_tokens=False).ids)) for r in corpus.collect())
+    for docs in (corpus, clashing):
+        out = token_counts.count_tokens(docs, cache, path)
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in out.collect()) == want
+    stored = spark.read.parquet(cache)
+    # The second run found everything: nothing was encoded or appended twice.
+    assert stored.count() == stored.select("digest").distinct().count()
+    stored_again = token_counts.count_tokens(corpus, cache, path).count()
+    assert stored_again == corpus.count() and spark.read.parquet(cache).count() == stored.count()
+    assert token_counts.count_tokens(empty, cache, path).count() == 0
+    counter = token_counts.Counter(path)
+    assert [counter.count(t.encode()) for t in ODD] == [len(library.encode(t, add_special_tokens=False).ids) for t in ODD]
+
+
+def plain_spans(text):
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 12:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return [f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(found)]
+
+
+def test_secret_spans(spark, corpus, empty, clashing):
+    want = Counter((r["doc_id"], ",".join(plain_spans(text_of(r)))) for r in corpus.collect())
+    out = secret_scan.find(clashing.withColumnRenamed("spans", "other")).collect()
+    shown = lambda spans: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["kind"] != "owned")
+    assert Counter((r["doc_id"], shown(r["spans"])) for r in out) == want
+    assert secret_scan.find(empty).count() == 0
+    folded = secret_scan.candidates('PassWord = "abcdefghijkl1" tokens:"short" ſecret=abcdefghijklmnop AKIA1 token:password:"abcdefghijklmn"')
+    assert [(c["kind"], c["start"]) for c in folded] == [("assign", 0)]
+
+
+def test_ownership_and_redaction(spark):
+    live, shared = "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "0a1b2c3d4e5f60718293a4b5c6d7e8f9"
+    rows = [(i, f"é token={shared} end", f"own{i}") for i in range(5)] + [(10, f"x token={live} y", "own1"), (11, "0000000000000000 plain", "own1"), (12, None, "own2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.find(docs).collect()}
+    assert all(s["example"] and not s["live"] and s["n_owners"] == 5 for i in range(5) for s in spans[i])
+    assert all(s["live"] and s["n_repos"] == 1 for s in spans[10])
+    assert [s["live"] for s in spans[11]] == [False]  # a number, not random
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert out[10] == "x [assign secret] y"
+    assert all(out[i] == t for i, t, _ in rows if i != 10)
+
+
+def test_query_digests(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: text_of(r) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries.QUERIES["op3_secret_scan"](spark, folder).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        spans = plain_spans(docs[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert r["n_assign"] == sum(s.startswith("assign") for s in spans) and r["n_hex"] == sum(s.startswith("hex") for s in spans)
+
+
+def best_padding(lengths, buckets):
+    """Least padding over all ways to choose the bounds."""
+    from itertools import combinations
+
+    values = sorted(set(lengths))
+    best = None
+    for k in range(0, min(buckets, len(values))):
+        for inner in combinations(values[:-1], k):
+            bounds = [*inner, values[-1]]
+            pad = sum(min(b for b in bounds if b >= n) - n for n in lengths)
+            best = pad if best is None else min(best, pad)
+    return best
+
+
+def test_packing(spark, corpus, empty, clashing):
+    lengths = [1, 1, 2, 7, 7, 8, 20, 21, 22, 40, 90]
+    for buckets in (1, 2, 3, 4):
+        counts = Counter(lengths)
+        bounds = packing.boundaries(list(counts), list(counts.values()), buckets)
+        assert sum(min(b for b in bounds if b >= n) - n for n in lengths) == best_padding(lengths, buckets)
+    assert packing.boundaries([], [], 3) == []
+    from pyspark.sql import functions as F
+
+    sized = clashing.drop("n_words", "length").select("doc_id", packing.n_words(F.col("text")).alias("n_words"))
+    out = packing.pack(sized, max_length=256, buckets=4, budget=1_000).collect()
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", text_of(r))) for r in corpus.collect()]
+    assert sum(r["length"] for r in out) == sum(words)
+    full = [r for r in out if r["length"]]
+    assert len(out) - len(full) == sum(n == 0 for n in words)
+    assert all(r["bucket"] >= r["length"] and r["start"] == 256 * r["segment"] for r in full)
+    held = Counter((r["bucket"], r["batch"]) for r in full)
+    assert all(n <= 1_000 // b for (b, _), n in held.items())
+    assert len({(r["bucket"], r["batch"], r["slot"]) for r in full}) == len(full)
+    last = {b: max(i for x, i in held if x == b) for b, _ in held}
+    assert all(n == 1_000 // b for (b, i), n in held.items() if i < last[b])
+    assert packing.pack(empty.select("doc_id", F.lit(1).alias("n_words"))).count() == 0
