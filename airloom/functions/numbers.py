@@ -9,20 +9,24 @@ RAW_SCALE = 10_000  # raw readings carry at most four decimals
 MEAN_SCALE = 1_000_000  # means over bounded windows
 
 
+def reading(v: str | Column) -> Column:
+    """The value, null where it is NaN or infinite: what cannot be measured is missing."""
+    v = F.col(v) if isinstance(v, str) else v
+    return F.when(is_finite(v), v)
+
+
 def fixed_point(v: str | Column, scale: int = MEAN_SCALE) -> Column:
-    """Scaled integer of `v`.
+    """Scaled integer of `v`; null for NaN and infinities.
 
     Sums of these are exact in any order, so a retried task or a different
     partitioning can never flip a truncated concentration.
     """
-    v = F.col(v) if isinstance(v, str) else v
-    return F.floor(v * F.lit(float(scale)) + F.lit(0.5))
+    return F.floor(reading(v) * F.lit(float(scale)) + F.lit(0.5))
 
 
 def exact_mean(v: str | Column, scale: int = RAW_SCALE) -> Column:
-    """Order-independent mean as an aggregate."""
-    v = F.col(v) if isinstance(v, str) else v
-    return F.sum(fixed_point(v, scale)).cast("double") / F.lit(float(scale)) / F.count(v)
+    """Order-independent mean of the finite values as an aggregate."""
+    return F.sum(fixed_point(v, scale)).cast("double") / F.lit(float(scale)) / F.count(reading(v))
 
 
 def is_finite(v: str | Column) -> Column:

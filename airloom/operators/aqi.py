@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from airloom.functions import aqi
 from airloom.functions.hours import plus_hours
-from airloom.functions.numbers import MEAN_SCALE, fixed_point
+from airloom.functions.numbers import MEAN_SCALE, fixed_point, reading
 from airloom.operators.series import halo, hour_window, own_rows
 
 
@@ -64,14 +64,14 @@ ROLLING_NAMES = {
 def rolling_24h(
     df: DataFrame, keys: Sequence[str], t: str, v: str = "pm25_ug_m3", source: str = "pm25_source", hours: int = 24
 ) -> DataFrame:
-    """Trailing mean over `hours`, null unless every hour is present, with its provenance counts."""
+    """Trailing mean over `hours`, null unless every hour is present, with its provenance counts (an hour without a value counts as missing)."""
     frame = hour_window(keys).rangeBetween(-(hours - 1), 0)
     out = halo(df, keys, t, back=hours - 1).withColumns(
         {
-            "_present": F.count(v).over(frame),
+            "_present": F.count(reading(v)).over(frame),
             "_sum": F.sum(fixed_point(v)).over(frame),
-            "rolling_observed_hour_count": F.count(F.when(F.col(source) == "observed", 1)).over(frame),
-            "rolling_predicted_hour_count": F.count(F.when(F.col(source) == "predicted", 1)).over(frame),
+            "rolling_observed_hour_count": F.count(F.when((F.col(source) == "observed") & reading(v).isNotNull(), 1)).over(frame),
+            "rolling_predicted_hour_count": F.count(F.when((F.col(source) == "predicted") & reading(v).isNotNull(), 1)).over(frame),
         }
     )
     out = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from airloom.contracts import TYPES, WEATHER_ALIASES, Contract
 from airloom.functions.hours import floor_hour, hour_index, utc_hour
-from airloom.functions.numbers import is_infinite
+from airloom.functions.numbers import is_infinite, reading
 
 TIME_NAMES = ("datetime_utc", "timestamp_utc", "date_utc", "datetime")
 VALUE_NAMES = ("pm25_ug_m3", "pm25", "value")
@@ -33,12 +33,13 @@ def dedupe(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column],
 
 
 def clean_measurements(df: DataFrame, v: str, out: str = "pm25_ug_m3") -> DataFrame:
-    """Flag zero and negative readings and null them; high readings stay."""
+    """Flag zero and negative readings and null them; high readings stay, NaN and infinities are missing."""
+    value = reading(v)
     return df.withColumns(
         {
-            "pm25_zero_flag": F.coalesce(F.col(v) == 0, F.lit(False)),
-            "pm25_negative_flag": F.coalesce(F.col(v) < 0, F.lit(False)),
-            out: F.when(F.col(v) > 0, F.col(v)),
+            "pm25_zero_flag": F.coalesce(value == 0, F.lit(False)),
+            "pm25_negative_flag": F.coalesce(value < 0, F.lit(False)),
+            out: F.when(value > 0, value),
         }
     )
 
@@ -60,7 +61,7 @@ def prepare_pm25_rows(
 ) -> DataFrame:
     """Project to the observation contract with missing flag, status and lineage."""
     t, v = _resolve(df, TIME_NAMES), _resolve(df, VALUE_NAMES)
-    number = F.expr(f"try_cast({v} AS double)")
+    number = reading(F.expr(f"try_cast({v} AS double)"))
     value = F.when(number > 0, number)
     return df.select(
         F.trim(F.col("location_key").cast("string")).alias("location_key"),
@@ -159,18 +160,22 @@ RANGE_RULES = (
 )
 
 
+def _nan(c: str) -> Column:
+    return F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False))
+
+
 def range_violations(
     df: DataFrame, keys: Sequence[str], t: str, columns: Sequence[str], rules: Sequence[tuple[str, str, str]] = RANGE_RULES
 ) -> DataFrame:
-    """Range, null, infinity, duplicate and missing-hour counters per key in one pass.
+    """Range, null, infinity, duplicate and missing-hour counters per key in one pass; NaN counts as null.
 
     The first aggregate is per (key, hour), which also yields the duplicates.
     """
     names = [r[0] for r in rules]
     hourly = df.groupBy(*keys, floor_hour(t).alias("_t")).agg(
         F.count("*").alias("_rows"),
-        *[F.count_if(F.expr(f"`{c}` {test}")).alias(n) for n, c, test in rules],
-        F.sum(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))).alias("_nulls"),
+        *[F.count_if(~_nan(c) & F.expr(f"`{c}` {test}")).alias(n) for n, c, test in rules],
+        F.sum(sum(((F.col(c).isNull() | _nan(c)).cast("int") for c in columns), F.lit(0))).alias("_nulls"),
         F.sum(sum((is_infinite(c).cast("int") for c in columns), F.lit(0))).alias("_infinite"),
     )
     return hourly.groupBy(*keys).agg(
@@ -233,45 +238,43 @@ SECRET_MARKERS = (
     "credential",
 )
 REDACTED = "[REDACTED]"
-MAX_JSON_DEPTH = 4
+# Tokens of JSON text: strings, structure, literals; a lone quote of broken text is a token of its own.
+_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]++|"'
+_STATE = "struct<out:string,depth:int,hidden:int,name:string,await:boolean>"
 
 
-def redact_fields(df: DataFrame, json_column: str, markers: Sequence[str] = SECRET_MARKERS, depth: int = MAX_JSON_DEPTH) -> DataFrame:
-    """Replace values of fields whose name holds a secret marker, at any object level up to `depth`.
+def redact_fields(df: DataFrame, json_column: str, markers: Sequence[str] = SECRET_MARKERS) -> DataFrame:
+    """Replace values of fields whose name holds a secret marker, at any depth of objects and arrays.
 
-    Objects are read as maps of raw JSON text (variant to map), level by level.
+    The text is read token by token: after a secret name, the next value is replaced as a whole, whatever it holds.
+    Fields keep their order, repeated names are all treated, blanks between tokens go. Text that does not begin
+    like an object or array stays as it is, and so does null; broken JSON is redacted as far as it has names.
     """
 
     def secret(name: Column) -> Column:
-        clean = F.replace(F.lower(F.trim(name)), F.lit("-"), F.lit("_"))
+        # Escapes in a name are read as JSON reads them.
+        plain = F.coalesce(F.get_json_object(F.concat(F.lit("["), name, F.lit("]")), "$[0]"), name)
+        clean = F.replace(F.lower(F.trim(plain)), F.lit("-"), F.lit("_"))
         test = F.lit(False)
         for marker in markers:
             test = test | clean.contains(marker)
         return test
 
-    def scrub(value: Column, level: int) -> Column:
-        """`value` is a variant; the result is JSON text."""
-        as_map = F.try_variant_get(value, "$", "map<string, variant>")
-        as_list = F.try_variant_get(value, "$", "array<variant>")
-        plain = F.to_json(value)
-        if level == 0:
-            return plain
-        kind = F.schema_of_variant(value)
-        fields = F.transform(
-            F.map_entries(as_map),
-            lambda e: F.concat(
-                F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2),
-                F.lit(":"),
-                F.when(secret(e["key"]), F.lit(f'"{REDACTED}"')).otherwise(
-                    F.coalesce(scrub(e["value"], level - 1), F.lit("null"))
-                ),
-            ),
-        )
-        items = F.transform(as_list, lambda x: F.coalesce(scrub(x, level - 1), F.lit("null")))
-        return (
-            F.when(kind.startswith("OBJECT"), F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")))
-            .when(kind.startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
-            .otherwise(plain)
-        )
-
-    return df.withColumn(json_column, scrub(F.try_parse_json(json_column), depth))
+    def state(out: Column, depth: Column, hidden: Column, name: Column, await_: Column) -> Column:
+        return F.struct(out.alias("out"), depth.cast("int").alias("depth"), hidden.cast("int").alias("hidden"), name.alias("name"), await_.alias("await")).cast(_STATE)
+
+    none, no = F.lit(-1), F.lit(False)
+    mark = F.lit(f'"{REDACTED}"')
+
+    def step(s: Column, x: Column) -> Column:
+        opens, closes = x.isin("{", "["), x.isin("}", "]")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        inside = state(s["out"], depth, F.when(closes & (depth <= s["hidden"]), none).otherwise(s["hidden"]), s["name"], no)
+        replaced = state(F.concat(s["out"], mark), depth, F.when(opens, s["depth"]).otherwise(none), s["name"], no)
+        shown = state(F.concat(s["out"], x), depth, none, F.when(x.startswith('"'), x).otherwise(s["name"]), (x == ":") & secret(s["name"]))
+        value = s["await"] & ~closes & ~x.isin(",", ":")
+        return F.when(s["hidden"] >= 0, inside).when(value, replaced).otherwise(shown)
+
+    start = state(F.lit(""), F.lit(0), none, F.lit(""), no)
+    folded = F.aggregate(F.regexp_extract_all(json_column, F.lit(_TOKENS), F.lit(0)), start, step, lambda s: s["out"])
+    return df.withColumn(json_column, F.when(F.regexp(json_column, F.lit(r"^\s*[{\[]")), folded).otherwise(F.col(json_column)))

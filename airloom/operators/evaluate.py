@@ -47,13 +47,18 @@ def horizon_group(h: str = "forecast_horizon_hours") -> Column:
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """MAE, RMSE and R2 by any grouping in one pass of partial sums."""
+    """MAE, RMSE and R2 by any grouping in one pass of partial sums, over rows with both values.
+
+    Constant actuals have no variance to explain: R2 is 1 for a perfect prediction, else 0.
+    """
     e = F.col(y) - F.col(p)
+    known = F.when(e.isNotNull(), F.col(y))
+    error = F.avg(e * e)
     return df.groupBy(*by).agg(
-        F.count("*").alias("sample_count"),
+        F.count(e).alias("sample_count"),
         F.avg(F.abs(e)).alias("mae"),
-        F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.when(F.var_pop(y) > 0, F.lit(1.0) - F.avg(e * e) / F.var_pop(y)).alias("r2"),
+        F.sqrt(error).alias("rmse"),
+        F.when(F.max(known) > F.min(known), F.lit(1.0) - error / F.var_pop(known)).when(error == 0, F.lit(1.0)).when(error > 0, F.lit(0.0)).alias("r2"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from airloom.contracts import CHANGES, LAGS, MAX_HORIZON, MEANS, MODEL_FEATURES, REFERENCE_FEATURES, TARGET_FEATURES, WEATHER
 from airloom.functions.calendar import calendar_columns, direction
-from airloom.functions.numbers import MEAN_SCALE, fixed_point
+from airloom.functions.numbers import MEAN_SCALE, fixed_point, reading
 from airloom.operators.clean import dedupe
 from airloom.operators.joins import expand_horizons
 from airloom.operators.series import attach_per_key, halo, hour_window, own_rows
@@ -29,7 +29,7 @@ def _means(w: WindowSpec, v: str, windows: Sequence[int]) -> dict[str, Column]:
     for n in windows:
         frame = w.rangeBetween(-(n - 1), 0)
         total = F.sum(fixed_point(v)).over(frame).cast("double") / F.lit(float(MEAN_SCALE))
-        out[f"pm25_mean_{n}h"] = F.when(F.count(v).over(frame) == n, total / F.lit(float(n)))
+        out[f"pm25_mean_{n}h"] = F.when(F.count(reading(v)).over(frame) == n, total / F.lit(float(n)))
     return out
 
 

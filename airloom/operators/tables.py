@@ -27,19 +27,29 @@ def normalize_keys(df: DataFrame, contract: Contract) -> DataFrame:
     return df.withColumns(columns)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, contract: Contract, order_by: Sequence[str] = ()) -> DataFrame:
-    """Existing rows not redelivered plus the incoming rows, the last delivery of each key winning.
+def upsert(existing: DataFrame, incoming: DataFrame, contract: Contract, order_by: Sequence[str]) -> DataFrame:
+    """Existing rows not redelivered plus the incoming rows, the last delivery of each key by `order_by` winning.
+
+    `order_by` names columns of `incoming` that tell the order of arrival, such as a sequence number; a value never
+    decides which delivery is the last, so a correction downwards or to null holds.
 
     The stored table is unique by contract, so it needs no re-sort: an anti-join
     against the incoming keys is enough, and AQE broadcasts that side when small.
     """
     key = contract.logical_key
-    fresh = normalize_keys(incoming, contract)
-    fresh = dedupe(fresh, key, list(order_by) or [c for c in contract.names if c not in key]).select(*contract.names)
+    fresh = last_deliveries(incoming, contract, order_by)
     kept = normalize_keys(existing, contract).select(*contract.names).join(fresh.select(*key), key, "left_anti")
     return kept.unionByName(fresh)
 
 
+def last_deliveries(incoming: DataFrame, contract: Contract, order_by: Sequence[str]) -> DataFrame:
+    """Contract columns of the last delivery of each key."""
+    if not order_by:
+        raise ValueError("order_by must name the order of arrival")
+    fresh = normalize_keys(incoming.select(*contract.names, *[c for c in order_by if c not in contract.names]), contract)
+    return dedupe(fresh, contract.logical_key, list(order_by)).select(*contract.names)
+
+
 def _changed(kind: str, a: Column, b: Column) -> Column:
     if kind == "double":
         both_null = a.isNull() & b.isNull()

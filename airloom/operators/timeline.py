@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.functions.hours import floor_hour, hour_index, hour_start, hours_between, plus_hours
-from airloom.functions.numbers import RAW_SCALE, fixed_point, is_finite, round_half_up
+from airloom.functions.numbers import RAW_SCALE, fixed_point, is_finite, reading, round_half_up
 from airloom.operators.series import HOUR, halo, hour_window, numbered_hours, own_rows, with_previous
 
 METHOD = "linear"
@@ -162,7 +162,7 @@ def impute_short_gaps(
     Frames reach at most `max_gap` hours, so a bucket needs no more context than
     that. Nothing else is ever filled and no reading is overwritten.
     """
-    grid = hourly_grid(df, keys, t)
+    grid = hourly_grid(df.withColumn(v, reading(v)), keys, t)
     if not enabled:
         return grid.withColumn("is_imputed", F.lit(False)).withColumn("imputation_method", F.lit(None).cast("string"))
     w = hour_window(keys)

@@ -347,8 +347,8 @@ def sql_rolling(keys: str, t: str, source: str) -> str:
   CASE WHEN n = 24 THEN CAST(s AS DOUBLE) / 1000000.0 / 24.0 END AS rolling_24h_pm25_ug_m3,
   24 AS rolling_24h_required_hours, 24 - n AS rolling_24h_missing_hours
 FROM (SELECT *, COUNT(v) OVER w AS n, SUM(CAST(floor(v * 1000000 + 0.5) AS BIGINT)) OVER w AS s,
-    COUNT(CASE WHEN src = 'observed' THEN 1 END) OVER w AS rolling_observed_hour_count,
-    COUNT(CASE WHEN src = 'predicted' THEN 1 END) OVER w AS rolling_predicted_hour_count
+    COUNT(CASE WHEN src = 'observed' AND v IS NOT NULL THEN 1 END) OVER w AS rolling_observed_hour_count,
+    COUNT(CASE WHEN src = 'predicted' AND v IS NOT NULL THEN 1 END) OVER w AS rolling_predicted_hour_count
   FROM {source}
   WINDOW w AS (PARTITION BY {keys} ORDER BY {t} RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW))"""
 

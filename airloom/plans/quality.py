@@ -403,11 +403,15 @@ def column_profile(spark, folder):
 
 @query(
     "redact_fields",
-    """SELECT event_id, '{"Api-Key":"[REDACTED]","list":[{"password":"[REDACTED]","x":' || CAST(user_id AS VARCHAR) || '}],"nested":{"client_secret":"[REDACTED]","name":"' || event_type || '"},"user":' || CAST(user_id AS VARCHAR) || '}' AS payload FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 'plain text, password unknown'
+  WHEN event_id % 4 = 2 THEN '{"a":[[{"b":{"c":{"d":[{"e":{"Refresh-Token":"[REDACTED]","n":' || CAST(user_id AS VARCHAR) || '}}]}}}]]}'
+  WHEN event_id % 4 = 3 THEN '{"password":"[REDACTED]","password":"[REDACTED]","note":"a \\" {password: 1}"}'
+  ELSE '{"user":' || CAST(user_id AS VARCHAR) || ',"Api-Key":"[REDACTED]","nested":{"name":"' || event_type || '","client_secret":"[REDACTED]"},"list":[{"password":"[REDACTED]","x":' || CAST(user_id AS VARCHAR) || '}]}' END AS payload FROM events""",
 )
 def redact_fields(spark, folder):
+    """Secrets at several depths, plain text, repeated names and names inside texts."""
     e = events(spark, folder)
-    payload = F.to_json(
+    flat = F.to_json(
         F.struct(
             F.col("user_id").alias("user"),
             F.lit("k-123").alias("Api-Key"),
@@ -415,4 +419,8 @@ def redact_fields(spark, folder):
             F.array(F.struct(F.lit("p").alias("password"), F.col("user_id").alias("x"))).alias("list"),
         )
     )
+    deep = F.concat(F.lit('{"a": [[{"b": {"c": {"d": [{"e": {"Refresh-Token": {"x": [1, "]"]}, "n": '), F.col("user_id").cast("string"), F.lit("}}]}}}]]}"))
+    twice = F.lit('{"password": 1, "password": [{"k": "}"}], "note": "a \\" {password: 1}"}')
+    kind = F.col("event_id") % 4
+    payload = F.when(kind == 1, F.lit("plain text, password unknown")).when(kind == 2, deep).when(kind == 3, twice).otherwise(flat)
     return cl.redact_fields(e.select("event_id", payload.alias("payload")), "payload")

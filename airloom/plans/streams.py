@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from airloom.contracts import VALUE
 from airloom.plans.inputs import KEY, cte, r, table, with_ctes
 from airloom.plans.registry import query
-from airloom.plans.tables import health_runs, incoming, stored
+from airloom.plans.tables import deliveries, health_runs, stored
 from airloom.session import scratch_path
 from airloom.sources.tables import read_table, write_table
 from airloom.streaming import jobs as st
@@ -44,11 +44,19 @@ def stream_hourly(spark, folder):
     return out.select(*KEY, F.col("window.start").alias("datetime_utc"), "mean_value", "last_value", "readings")
 
 
-@query("stream_dedupe", "SELECT DISTINCT user_id, date_trunc('hour', ts) AS datetime_utc FROM events")
+@query(
+    "stream_dedupe",
+    with_ctes(
+        f"""SELECT user_id, datetime_utc, {r('value')} AS value FROM (
+  SELECT user_id, date_trunc('hour', ts) AS datetime_utc, value, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS n FROM events), mark
+WHERE n = 1 AND datetime_utc + INTERVAL 1 HOUR <= w""",
+        "mark",
+    ),
+)
 def stream_dedupe(spark, folder):
     rows = _source(spark, folder).withColumn("datetime_utc", F.date_trunc("hour", F.col("ts").cast("timestamp")))
-    kept = st.stream_dedupe(rows, ["user_id", "datetime_utc"], "ts").select("user_id", "datetime_utc")
-    return st.run_available(kept, scratch_path(spark, "stream-dedupe"))
+    kept = st.stream_dedupe(rows, ["user_id", "datetime_utc"], "ts", ["ts", "event_id"])
+    return st.run_available(kept.select("user_id", "datetime_utc", "value"), scratch_path(spark, "stream-dedupe"))
 
 
 @query(
@@ -61,9 +69,10 @@ def stream_dedupe(spark, folder):
 def stream_upsert(spark, folder):
     path = scratch_path(spark, "stream-upsert")
     write_table(stored(spark, folder), f"{path}/table", VALUE)
-    incoming(spark, folder).write.parquet(f"{path}/feed")
-    feed = st.file_stream(spark, f"{path}/feed", "*.parquet", VALUE.schema)
-    st.run_sink(feed, st.upsert_sink(f"{path}/table", VALUE), path)
+    rows = deliveries(spark, folder)
+    rows.write.parquet(f"{path}/feed")
+    feed = st.file_stream(spark, f"{path}/feed", "*.parquet", rows.schema)
+    st.run_sink(feed, st.upsert_sink(f"{path}/table", VALUE, ["sequence"]), path)
     return read_table(spark, f"{path}/table", VALUE).drop("event_date")
 
 

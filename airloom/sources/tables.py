@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from airloom.contracts import Contract
 from airloom.operators.clean import dedupe
-from airloom.operators.tables import classify_changes, normalize_keys, upsert
+from airloom.operators.tables import classify_changes, last_deliveries, normalize_keys
 
 DATE = "event_date"
 
@@ -52,25 +52,29 @@ def read_table(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     return spark.read.parquet(path).select(*contract.names, DATE)
 
 
-def apply_upsert(spark: SparkSession, path: str, incoming: DataFrame, contract: Contract, order_by: Sequence[str] = ()) -> None:
-    """Upsert into a stored table, rewriting only the days that changed.
+def apply_upsert(spark: SparkSession, path: str, incoming: DataFrame, contract: Contract, order_by: Sequence[str]) -> None:
+    """Upsert into a stored table, rewriting only the days that changed; the last delivery by `order_by` wins.
 
-    Changed rows are written to the shared folder first: they are read twice
-    (touched days, merge) and must not depend on the files being replaced.
+    Changed rows are written to the shared folder first: they are read twice (touched days, merge) and must not depend
+    on the files being replaced. Only days between the first and the last of a delivery are read: literal
+    bounds prune the stored partitions. What was staged is removed at the end.
     """
-    from airloom.session import scratch_path
+    from airloom.session import remove_path, scratch_path
 
-    stored = read_table(spark, path, contract)
     key = contract.logical_key
-    days_in = normalize_keys(incoming, contract).select(F.to_date(contract.event_time).alias(DATE)).distinct()
-    overlap = stored.join(days_in, DATE, "left_semi").drop(DATE)
-    fresh = dedupe(normalize_keys(incoming, contract), key, list(order_by) or [c for c in contract.names if c not in key])
-    changes = classify_changes(fresh, overlap, contract).filter("change <> 'unchanged'").select(*contract.names)
+    fresh = last_deliveries(incoming, contract, order_by)
+    ends = fresh.agg(F.min(F.to_date(contract.event_time)).alias("first"), F.max(F.to_date(contract.event_time)).alias("last")).first()
+    if ends["first"] is None:
+        return
+    stored = read_table(spark, path, contract).filter(F.col(DATE).between(F.lit(ends["first"]), F.lit(ends["last"])))
+    changes = classify_changes(fresh, stored.drop(DATE), contract).filter("change <> 'unchanged'").select(*contract.names)
     staged_path = scratch_path(spark, "upsert")
     changes.write.parquet(f"{staged_path}/changes")
     changed = spark.read.schema(contract.schema).parquet(f"{staged_path}/changes")
     days = changed.select(F.to_date(contract.event_time).alias(DATE)).distinct()
-    merged = upsert(stored.join(days, DATE, "left_semi").drop(DATE), changed, contract)
+    kept = normalize_keys(stored.join(days, DATE, "left_semi").drop(DATE), contract).join(changed.select(*key), key, "left_anti")
+    merged = kept.select(*contract.names).unionByName(changed)
     merged.withColumn(DATE, F.to_date(contract.event_time)).write.parquet(f"{staged_path}/merged")
     ready = spark.read.parquet(f"{staged_path}/merged").select(*contract.names)
     write_table(ready, path, contract)
+    remove_path(spark, staged_path)

@@ -15,23 +15,29 @@ from airloom.sources.tables import apply_upsert
 LATENESS = "30 hours"  # the overlap a late correction may reach back
 
 
-def watermarked(stream: DataFrame, t: str) -> DataFrame:
+def watermarked(stream: DataFrame, t: str, lateness: str = LATENESS) -> DataFrame:
     """Event time as a zoned timestamp (watermarks refuse the zone-free type) with the lateness bound."""
-    return stream.withColumn(t, F.col(t).cast("timestamp")).withWatermark(t, LATENESS)
+    return stream.withColumn(t, F.col(t).cast("timestamp")).withWatermark(t, lateness)
 
 
-def stream_hourly(stream: DataFrame, keys: Sequence[str], t: str, v: str) -> DataFrame:
+def stream_hourly(stream: DataFrame, keys: Sequence[str], t: str, v: str, lateness: str = LATENESS) -> DataFrame:
     """Tumbling hourly mean, last value and count per key; `window` carries the event time on."""
     return (
-        watermarked(stream, t)
+        watermarked(stream, t, lateness)
         .groupBy(*keys, F.window(t, "1 hour"))
         .agg(exact_mean(v).alias("mean_value"), F.max_by(v, t).alias("last_value"), F.count("*").alias("readings"))
     )
 
 
-def stream_dedupe(stream: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
-    """Drop redelivered observations of a logical key within the lateness bound; state is bounded by it."""
-    return watermarked(stream, t).dropDuplicatesWithinWatermark(list(keys))
+def stream_dedupe(stream: DataFrame, keys: Sequence[str], t: str, order_by: Sequence[str], lateness: str = LATENESS) -> DataFrame:
+    """The last delivery of each logical key, by `order_by`, once its hour is closed.
+
+    Corrections replace earlier deliveries until the watermark passes the hour; the state is bounded by `lateness`.
+    """
+    rest = [c for c in stream.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order_by)).alias("_last")
+    closed = watermarked(stream, t, lateness).groupBy(*keys, F.window(t, "1 hour")).agg(last)
+    return closed.select(*keys, "_last.*")
 
 
 def stream_rolling_24h(hourly: DataFrame, keys: Sequence[str], hours: int = 24) -> DataFrame:
@@ -63,14 +69,14 @@ def stream_alert_sessions(hourly: DataFrame, keys: Sequence[str], threshold: flo
     )
 
 
-def upsert_sink(path: str, contract: Contract) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, contract: Contract, order_by: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that merges a micro-batch and rewrites only the days it changes.
 
     Replaying a batch finds its rows unchanged, so a retry is harmless.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        apply_upsert(batch.sparkSession, path, batch, contract)
+        apply_upsert(batch.sparkSession, path, batch, contract, order_by)
 
     return write
 

@@ -125,9 +125,12 @@ def test_upsert_and_change_classes(spark):
     def rows(*pairs):
         return spark.createDataFrame([("a", T0 + timedelta(hours=h), v) for h, v in pairs], VALUE.schema)
 
-    old, new = rows((0, 1.0), (1, 2.0)), rows((1, 99.0), (2, 3.0))
-    out = {r["datetime_utc"].hour: r["value"] for r in upsert(old, new, VALUE).collect()}
-    assert out == {0: 1.0, 1: 99.0, 2: 3.0}
+    old = rows((0, 1.0), (1, 2.0))
+    new = rows((1, 99.0), (2, 3.0), (3, 5.0)).withColumn("n", F.lit(1)).unionByName(rows((1, 1.5), (3, None)).withColumn("n", F.lit(2)))
+    out = {r["datetime_utc"].hour: r["value"] for r in upsert(old, new, VALUE, ["n"]).collect()}
+    assert out == {0: 1.0, 1: 1.5, 2: 3.0, 3: None}
+    with pytest.raises(ValueError):
+        upsert(old, new, VALUE, [])
     classes = classify_changes(rows((0, 1.0 + 1e-12), (1, None), (2, 3.0)), old, VALUE)
     assert {r["datetime_utc"].hour: r["change"] for r in classes.collect()} == {0: "unchanged", 1: "updated", 2: "inserted"}
 
@@ -182,3 +185,44 @@ def test_rolling_mean_needs_every_hour(spark):
     df = series(spark, [(h, 2.0) for h in range(30) if h != 3]).withColumn("pm25_source", F.lit("observed"))
     out = rolling_24h(df, ["location_key"], "datetime_utc")
     assert out.filter("rolling_24h_pm25_is_complete").count() == 3
+
+
+def test_nan_and_infinity_are_missing(spark):
+    from airloom.operators.clean import clean_measurements, range_violations
+    from airloom.operators.features import rolling_means
+
+    nan, inf = float("nan"), float("inf")
+    df = series(spark, enumerate([10.0, nan, 20.0, 30.0, inf, inf, 1.0]))
+    means = {r["datetime_utc"].hour: r["pm25_mean_3h"] for r in rolling_means(df, ["location_key"], "datetime_utc", "pm25_ug_m3", windows=(3,)).collect()}
+    assert all(v is None for v in means.values())
+    filled = {r["datetime_utc"].hour: r["pm25_ug_m3"] for r in impute_short_gaps(series(spark, [(0, 10.0), (1, nan), (2, 20.0)]), ["location_key"]).collect()}
+    assert filled == {0: 10.0, 1: 15.0, 2: 20.0}
+    clean = clean_measurements(df, "pm25_ug_m3").collect()
+    assert sorted(r["pm25_ug_m3"] for r in clean if r["pm25_ug_m3"]) == [1.0, 10.0, 20.0, 30.0]
+    rules = [("too_low", "pm25_ug_m3", "< 0"), ("too_high", "pm25_ug_m3", "> 500")]
+    counted = range_violations(series(spark, [(0, nan), (1, 5.0), (2, inf)]), ["location_key"], "datetime_utc", ["pm25_ug_m3"], rules).first()
+    assert (counted["null_values"], counted["infinite_values"], counted["too_high"], counted["too_low"]) == (1, 1, 1, 0)
+
+
+def test_redaction_reaches_every_depth(spark):
+    from airloom.operators.clean import redact_fields
+
+    deep = "x"
+    for _ in range(9):
+        deep = '{"a":[[' + (deep if deep != "x" else '{"pass\\u0077ord":"LEAK","y":1}') + "]]}"
+    texts = [deep, "plain password: LEAK-free", None, '{"secret":{"a":"LEAK"},"b":[1,"}"]}', '["token", {"Access-Token" : ["LEAK"]}]', "{}", '{"password":"LEAK']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = [r["t"] for r in redact_fields(df, "t").orderBy("i").collect()]
+    assert "LEAK" not in out[0] and '"y":1' in out[0]
+    assert out[1] == texts[1] and out[2] is None
+    assert out[3] == '{"secret":"[REDACTED]","b":[1,"}"]}'
+    assert out[4] == '["token",{"Access-Token":"[REDACTED]"}]'
+    assert out[5] == "{}"
+
+
+def test_constant_actuals(spark):
+    from airloom.operators.evaluate import regression_metrics
+
+    df = spark.createDataFrame([("same", 5.0, 5.0), ("same", 5.0, 5.0), ("off", 5.0, 6.0), ("off", 5.0, None), ("off", 5.0, 5.0)], "k string, y double, p double")
+    out = {r["k"]: r for r in regression_metrics(df, "y", "p", ["k"]).collect()}
+    assert out["same"]["r2"] == 1.0 and out["off"]["r2"] == 0.0 and out["off"]["sample_count"] == 2
