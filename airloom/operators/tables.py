@@ -226,18 +226,22 @@ def feature_parity(
 
 
 def row_digest(contract: Contract) -> Column:
-    """SHA-256 of a row's canonical text: doubles at ten decimals, times in ISO form, nulls marked."""
+    """SHA-256 of a row's canonical text: doubles at ten decimals, times in ISO form.
+
+    Every part is led by its length and a null is a bare mark, so no text can stand for another row. Doubles that
+    ten decimals cannot hold, NaN and infinities appear as Spark prints them.
+    """
     texts = []
     for name, kind, _ in contract.columns:
         c = F.col(name)
         if kind == "double":
-            c = c.cast("decimal(28,10)").cast("string")
+            c = F.when(F.abs(c) < 1e17, c.try_cast("decimal(28,10)").cast("string")).otherwise(c.cast("string"))
         elif kind == "timestamp":
             c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
         else:
             c = c.cast("string")
-        texts.append(F.coalesce(c, F.lit("<null>")))
-    return F.sha2(F.concat_ws("|", *texts), 256)
+        texts.append(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~")))
+    return F.sha2(F.concat(*texts), 256)
 
 
 def dataset_digest(df: DataFrame, contract: Contract, by: Sequence[str] = ()) -> DataFrame:

@@ -151,7 +151,7 @@ def feature_parity(spark, folder):
 @query("dataset_digest", with_ctes(
     "SELECT location_key, COUNT(*) AS row_count, sha256(concat_ws('|', CAST(COUNT(*) AS VARCHAR), "
     + ", ".join(f"CAST(SUM(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)::HUGEINT) AS VARCHAR)" for i in range(4))
-    + ")) AS content_sha256 FROM (SELECT location_key, sha256(concat_ws('|', location_key, strftime(datetime_utc, '%Y-%m-%dT%H:%M:%S'), CAST(CAST(value AS DECIMAL(28,10)) AS VARCHAR))) AS h FROM tenths) GROUP BY 1".replace("tenths", "(SELECT location_key, datetime_utc, floor(value * 4) / 4 AS value FROM local_rows)"),
+    + ")) AS content_sha256 FROM (SELECT location_key, sha256(length(location_key) || ':' || location_key || '19:' || strftime(datetime_utc, '%Y-%m-%dT%H:%M:%S') || coalesce(length(CAST(CAST(value AS DECIMAL(28,10)) AS VARCHAR)) || ':' || CAST(CAST(value AS DECIMAL(28,10)) AS VARCHAR), '~')) AS h FROM tenths) GROUP BY 1".replace("tenths", "(SELECT location_key, datetime_utc, floor(value * 4) / 4 AS value FROM local_rows)"),
     "local_rows",
 ))
 def dataset_digest(spark, folder):

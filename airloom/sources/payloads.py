@@ -37,25 +37,29 @@ def normalize_measurements(df: DataFrame, json_column: str, keep: Sequence[str]
 
 
 def _hourly_schema(variables: Sequence[str]) -> str:
-    fields = ", ".join(["time: array<string>", *[f"{v}: array<double>" for v in variables]])
+    fields = ", ".join(["time: array<string>", *[f"{v}: array<string>" for v in variables]])
     return f"hourly struct<{fields}>"
 
 
 def explode_hourly_arrays(
     df: DataFrame, json_column: str, variables: Sequence[str] = WEATHER, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Parallel arrays to one row per hour; payloads with unequal or missing arrays give no rows."""
+    """Parallel arrays to one row per hour; payloads with unequal or missing arrays or a bad time stamp give no rows.
+
+    A value that is no number becomes null.
+    """
     parsed = df.withColumn("_h", F.from_json(json_column, _hourly_schema(variables))["hourly"])
     rows = parsed.filter(arrays_aligned("_h", variables)).select(
-        *keep, F.inline(F.arrays_zip(F.col("_h.time").alias("time"), *[F.col(f"_h.{v}").alias(v) for v in variables]))
+        *keep, F.inline(F.arrays_zip(F.col("_h.time").alias("time"), *[F.transform(f"_h.{v}", _number).alias(v) for v in variables]))
     )
     return rows.withColumn("datetime_utc", F.col("time").try_cast("timestamp")).select(*keep, "datetime_utc", *variables)
 
 
 def arrays_aligned(parsed: str, variables: Sequence[str]) -> Column:
-    """Every variable has exactly one value per time stamp."""
+    """Every time stamp is one, and every variable has exactly one value for it."""
     length = F.size(F.col(f"{parsed}.time"))
     test = F.col(f"{parsed}.time").isNotNull() & (length > 0)
+    test = test & F.coalesce(F.forall(F.col(f"{parsed}.time"), lambda x: x.try_cast("timestamp").isNotNull()), F.lit(False))
     for v in variables:
         test = test & F.coalesce(F.size(F.col(f"{parsed}.{v}")) == length, F.lit(False))
     return test

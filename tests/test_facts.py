@@ -226,3 +226,20 @@ def test_constant_actuals(spark):
     df = spark.createDataFrame([("same", 5.0, 5.0), ("same", 5.0, 5.0), ("off", 5.0, 6.0), ("off", 5.0, None), ("off", 5.0, 5.0)], "k string, y double, p double")
     out = {r["k"]: r for r in regression_metrics(df, "y", "p", ["k"]).collect()}
     assert out["same"]["r2"] == 1.0 and out["off"]["r2"] == 0.0 and out["off"]["sample_count"] == 2
+
+
+def test_digest_tells_rows_apart(spark):
+    from airloom.operators.tables import row_digest
+
+    rows = [("x|y", T0, 1.0), ("x", T0, 1.0), (None, T0, 1.0), ("~", T0, 1.0), ("<null>", T0, 1.0), ("x", T0, 1e19), ("x", T0, float("nan")), ("x", T0, None)]
+    df = spark.createDataFrame(rows, VALUE.schema)
+    assert df.select(row_digest(VALUE).alias("h")).distinct().count() == len(rows)
+
+
+def test_hourly_payloads(spark):
+    from airloom.sources.payloads import explode_hourly_arrays, rejected_payloads
+
+    texts = ['{"hourly":{"time":["2024-01-01T00:00","2024-01-01T01:00"],"v":[1.5,"bad"]}}', '{"hourly":{"time":["2024-01-01T00:00","never"],"v":[1,2]}}', '{"hourly":{"time":["2024-01-01T00:00"],"v":[1,2]}}', "broken", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [(r["i"], r["v"]) for r in explode_hourly_arrays(df, "t", ["v"], ["i"]).orderBy("datetime_utc").collect()] == [(0, 1.5), (0, None)]
+    assert [r["i"] for r in rejected_payloads(df, "t", ["v"], ["i"]).orderBy("i").collect()] == [1, 2, 3, 4]
