@@ -100,11 +100,13 @@ def feature_rows(
 
 
 def complete_feature_rows(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], references: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], order_by: Sequence[str], references: DataFrame | None = None
 ) -> DataFrame:
-    """Rows without a missing feature, up to each key's reference hour, last one per hour."""
+    """Rows without a missing feature, up to each key's reference hour, the last one per hour by `order_by`."""
+    if not order_by:
+        raise ValueError("order_by must name the order of arrival")
     full = df.dropna(subset=list(columns))
     if references is not None:
         limit = references.select(*keys, F.col("reference_time").alias("_limit"))
         full = attach_per_key(full, limit, keys, "reference_time").filter("reference_time <= _limit").drop("_limit")
-    return dedupe(full, [*keys, "reference_time"], list(columns))
+    return dedupe(full, [*keys, "reference_time"], list(order_by)).drop(*order_by)

@@ -12,13 +12,20 @@ from airloom.functions.hours import plus_hours
 from airloom.operators.clean import dedupe
 
 
-def canonical(pollution: DataFrame, weather: DataFrame, keys: Sequence[str], t: str = "datetime_utc", how: str = "left") -> DataFrame:
-    """Pollution and weather on (key, hour): 'left', 'full' or 'inner'."""
+def canonical(
+    pollution: DataFrame, weather: DataFrame, keys: Sequence[str], t: str = "datetime_utc", how: str = "left", order_by: Sequence[str] = ()
+) -> DataFrame:
+    """Pollution and weather on (key, hour): 'left', 'full' or 'inner'.
+
+    The full join keeps one row an hour, the last by `order_by`: columns of either side that tell the order of
+    arrival. They are needed for it and do not appear in its result.
+    """
     joined = pollution.join(weather, [*keys, t], how)
     if how != "full":
         return joined
-    rest = [c for c in joined.columns if c not in (*keys, t)]
-    return dedupe(joined, [*keys, t], rest)
+    if not order_by:
+        raise ValueError("order_by must name the order of arrival")
+    return dedupe(joined, [*keys, t], list(order_by)).drop(*order_by)
 
 
 def expand_horizons(df: DataFrame, horizons: int = MAX_HORIZON, reference: str = "reference_time") -> DataFrame:

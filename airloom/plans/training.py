@@ -60,6 +60,12 @@ def _gridded(spark, folder):
     return hourly_grid(hourly(spark, folder).drop("n_events"), KEY)
 
 
+def _twice(df, column):
+    """Every row arrives twice: first with a higher value of one column, then as it is."""
+    early = df.withColumn(column, F.coalesce(column, F.lit(0.0)) + 1000.0)
+    return early.withColumn("sequence", F.lit(1)).unionByName(df.withColumn("sequence", F.lit(2)))
+
+
 @query("join_canonical_left", _canonical_sql("LEFT"))
 def join_canonical_left(spark, folder):
     return jn.canonical(_gridded(spark, folder), weather(spark, folder), KEY, how="left")
@@ -67,7 +73,7 @@ def join_canonical_left(spark, folder):
 
 @query("join_canonical_outer", _canonical_sql("FULL"))
 def join_canonical_outer(spark, folder):
-    return jn.canonical(_gridded(spark, folder), weather(spark, folder), KEY, how="full")
+    return jn.canonical(_gridded(spark, folder), _twice(weather(spark, folder), WEATHER[0]), KEY, how="full", order_by=["sequence"])
 
 
 @query("join_canonical_inner", _canonical_sql("INNER"))
@@ -238,7 +244,7 @@ def feature_rows(spark, folder):
 )
 def complete_feature_rows(spark, folder):
     limits = hourly(spark, folder).select(*KEY).distinct().withColumn("reference_time", F.lit("2024-01-28 00:00:00").cast("timestamp"))
-    return ft.complete_feature_rows(references(spark, folder), KEY, REFERENCE_FEATURES, limits)
+    return ft.complete_feature_rows(_twice(references(spark, folder), REFERENCE_FEATURES[0]), KEY, REFERENCE_FEATURES, ["sequence"], limits)
 
 
 _CANDIDATES = f"""SELECT location_key, datetime_utc AS candidate_reference_time, {r("date_diff('second', datetime_utc, TIMESTAMP '" + AS_OF + "') / 3600.0")} AS candidate_age_hours, 25 AS required_pm25_history_rows,
