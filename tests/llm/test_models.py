@@ -103,7 +103,7 @@ def plain_verdicts(rows):
         if kept:
             median, distance = bands[language(r["lang"])]
             root = math.sqrt(len(r["text"]))
-            kept = median - distance * ngram_model.LOW_FENCE / root <= b <= median + distance * ngram_model.HIGH_FENCE / root
+            kept = median - distance * ngram_model.LOW_FENCE / root <= b <= median + ngram_model.HIGH_BITS + distance * ngram_model.HIGH_FENCE / root
         out.append((kept, b))
     return out
 
