@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airloom.operators.series import numbered
+from airloom.session import shared_folder
 
 
 def _assembler(columns: Sequence[str]) -> VectorAssembler:
@@ -37,10 +38,11 @@ def fit_boosted_trees(
     rows: DataFrame, columns: Sequence[str], y: str, rounds: int = 100, depth: int = 5, loss: str = "squared", seed: int = 42
 ) -> Model:
     """Boosted trees stopped early on the validation split ('squared' or 'absolute' loss)."""
+    shared_folder(rows.sparkSession)
     used = rows.filter("split IN ('train', 'validation')").withColumn("_validation", F.col("split") == "validation")
     trees = GBTRegressor(
         labelCol=y, maxIter=rounds, maxDepth=depth, lossType=loss, validationIndicatorCol="_validation", seed=seed,
-        checkpointInterval=-1,
+        checkpointInterval=10,  # the shared folder keeps the lineage short
     )
     return Pipeline(stages=[_assembler(columns), trees]).fit(used)
 

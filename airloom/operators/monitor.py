@@ -74,9 +74,7 @@ def incident_fingerprint(components: DataFrame, run: Sequence[str], observed: st
     """
     unhealthy = F.col("status").isin("WARNING", "CRITICAL", "UNKNOWN")
     # Keys in alphabetical order and no spaces, as a canonical JSON text.
-    part = F.concat(
-        F.lit('{"category":"'), "category", F.lit('","name":"'), "name", F.lit('","status":"'), "status", F.lit('"}')
-    )
+    part = F.to_json(F.struct("category", "name", "status"), {"ignoreNullFields": "false"})
     runs = components.groupBy(*run).agg(
         F.max(observed).alias(observed),
         F.array_sort(
@@ -151,10 +149,8 @@ def incident_action(now: Column, before: Column) -> Column:
 
 def notification_id(kind: str = "notification_type", incident: str = "incident_id", path: str = "history_path") -> Column:
     """Stable id of one notification: its type and a hash of its canonical JSON."""
-    quoted = F.when(F.col(path).isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), F.col(path), F.lit('"')))
-    text = F.concat(
-        F.lit('{"history_path":'), quoted, F.lit(',"incident_id":"'), incident, F.lit('","notification_type":"'), kind, F.lit('"}')
-    )
+    named = F.struct(F.col(path).alias("history_path"), F.col(incident).alias("incident_id"), F.col(kind).alias("notification_type"))
+    text = F.to_json(named, {"ignoreNullFields": "false"})
     return F.concat(F.lower(kind), F.lit("_"), F.substring(F.sha2(text, 256), 1, 20))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from airloom.contracts import Contract
 from airloom.functions.hours import floor_hour, hour_index, plus_hours
+from airloom.functions.numbers import reading
 from airloom.operators.clean import dedupe
 from airloom.operators.series import attach_per_key
 from airloom.operators.timeline import detect_gaps
@@ -149,7 +150,8 @@ def backfill_report(
 def dataset_parity(a: DataFrame, b: DataFrame, keys: Sequence[str], tolerance: float = 1e-8) -> DataFrame:
     """One row per shared column: mismatching rows and largest difference, plus table-level facts.
 
-    A single full outer join on the key feeds one wide aggregate that is then unpivoted.
+    A single full outer join on the key feeds one wide aggregate that is then unpivoted. Repeated keys of either side
+    count as duplicates; the largest difference is over finite ones.
     """
     shared = [c for c in a.columns if c in b.columns and c not in keys]
     kinds = dict(a.dtypes)
@@ -164,8 +166,8 @@ def dataset_parity(a: DataFrame, b: DataFrame, keys: Sequence[str], tolerance: f
         if kinds[c] in numeric:
             difference = F.abs(x.cast("double") - y.cast("double"))
             close = difference <= F.lit(tolerance) + F.lit(tolerance) * F.abs(y.cast("double"))
-            same = (x.isNull() & y.isNull()) | F.coalesce(close, F.lit(False))
-            worst = F.coalesce(F.max(F.when(both, difference)), F.lit(0.0))
+            same = (x.isNull() & y.isNull()) | x.eqNullSafe(y) | (reading(difference).isNotNull() & F.coalesce(close, F.lit(False)))
+            worst = F.coalesce(F.max(F.when(both, reading(difference))), F.lit(0.0))
         else:
             same, worst = x.eqNullSafe(y), F.lit(0.0)
         parts.append(
@@ -180,7 +182,7 @@ def dataset_parity(a: DataFrame, b: DataFrame, keys: Sequence[str], tolerance: f
         F.coalesce(F.sum("_m"), F.lit(0)).alias("right_rows"),
         F.count_if(F.col("_m").isNull()).alias("left_only_keys"),
         F.count_if(F.col("_n").isNull()).alias("right_only_keys"),
-        F.coalesce(F.sum(F.col("_m") - 1), F.lit(0)).alias("duplicate_keys"),
+        (F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)) + F.coalesce(F.sum(F.col("_m") - 1), F.lit(0))).alias("duplicate_keys"),
         F.array(*parts).alias("_columns"),
     )
     missing = ", ".join(c for c in a.columns if c not in b.columns)
