@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import reread
+from airloom.llm.common import discard, reread
 from airloom.llm.graph import components
 
 
@@ -91,7 +91,7 @@ def links(lists: DataFrame, sets: DataFrame, percent: int, matches: int = 0) ->
     rest = reread(spark, named.join(held.select("key", "largest", "most"), "key"), "rest")
     outside = rest.filter("component <> largest")
     large = F.col("most") >= LARGE
-    joined = _against_component(outside.filter(large).select("largest", "id").distinct(), labels, own, sets, percent)
+    joined, used = _against_component(outside.filter(large).select("largest", "id").distinct(), labels, own, sets, percent)
     # Rows of a large component have met the outside members already.
     small = rest.filter(~large | (F.col("component") != F.col("largest"))).join(own.select("id", "keys"), "id").join(sets.select("id", "sketch"), "id")
     small = reread(spark, small, "small")
@@ -101,11 +101,12 @@ def links(lists: DataFrame, sets: DataFrame, percent: int, matches: int = 0) ->
     crossing = left.join(small, (F.col("x_key") == F.col("key")) & other & _agree("sketch", "x_sketch", percent) & once)
     pairs = crossing.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
     second = reread(spark, verified(pairs, sets, percent, matches).unionByName(joined), "links")
+    discard(own, named, rest, small, *used)
     return first.unionByName(second)
 
 
-def _against_component(outside: DataFrame, labels: DataFrame, own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of outside members (largest, id) with members of that component: one a slice is enough."""
+def _against_component(outside: DataFrame, labels: DataFrame, own: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """Links (a, b) of outside members (largest, id) with members of that component (one a slice is enough), and tables to discard."""
     whole = own.select("id", "keys").join(sets.select("id", "set"), "id")
     inside = labels.join(outside.select("largest").distinct(), F.col("component") == F.col("largest")).select("largest", "id").join(whole, "id")
     guests = outside.join(whole, "id")
@@ -139,7 +140,8 @@ def _against_component(outside: DataFrame, labels: DataFrame, own: DataFrame, se
         return pd.DataFrame(found, columns=["a", "b"])
 
     inside, guests = reread(sets.sparkSession, inside, "inside"), reread(sets.sparkSession, guests, "guests")
-    return inside.groupBy("largest", "x", "z").cogroup(guests.groupBy("largest", "x", "z")).applyInPandas(compare, "a long, b long")
+    found = inside.groupBy("largest", "x", "z").cogroup(guests.groupBy("largest", "x", "z")).applyInPandas(compare, "a long, b long")
+    return found, (inside, guests)
 
 
 def bitmap_filter(spark, ids: DataFrame, column: str):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import encoded, reread, sliced
+from airloom.llm.common import discard, encoded, reread, sliced
 from airloom.llm.graph import components
 from airloom.llm.linking import Batches, bitmap_filter, links, longs, sketches
 
@@ -87,6 +87,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     full = rows.filter("doc_id is not null").filter(maybe("doc_id")).mapInArrow(_sets, "id long, signature array<long>, sketch array<long>, set array<long>")
     full = reread(spark, full.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     found = links(lists, full, percent, MATCHES)
+    discard(lists, wanted, full)
     reps = classes.select("id", "rep")
     named = found.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
     # Rows of one key with different texts tie their sets together.

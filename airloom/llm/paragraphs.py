@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import encoded, reread, sliced
+from airloom.llm.common import discard, encoded, reread, sliced
 from airloom.llm.graph import components
 from airloom.llm.linking import Batches, bitmap_filter, links, longs, sketches
 
@@ -114,6 +114,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     full = rows.filter(maybe("doc_id")).mapInArrow(_sets, "id long, sketch array<long>, set array<long>")
     full = reread(spark, full.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     labels = components(links(lists, full, percent))
+    discard(lists, wanted, full)
     named = classes.select("id", "first", "n").join(labels, "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     clusters = named.groupBy("cluster").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     members = named.select("id", "cluster").join(clusters.select("cluster", "keep"), "cluster")
