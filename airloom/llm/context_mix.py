@@ -37,6 +37,7 @@ BATCH = 8_192
 END = 0xFF  # never a byte of UTF-8
 FREQUENT = 500_000  # words whose counts every task holds; the others are joined
 FOLDS = 10
+SLICE = 1 << 20  # bytes of text scored at a time
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,16 +124,16 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys[part])), pa.array(keys[part]), pa.array(n[part])], ["kind", "key", "n"])
                 held[kind] = ([], [])
 
-        for batch in sliced(batches, 0):
+        for batch in sliced(batches, 0, SLICE):
             raw = encoded(batch.column(0))
             for kind, keys in (("w", sh.words(raw)[0].view(np.int64)), ("g", windows(raw)[0])):
                 found, n = np.unique(keys, return_counts=True)
                 held[kind][0].append(found)
                 held[kind][1].append(n)
-                if sum(map(len, held[kind][0])) > 4_000_000:
+                if sum(map(len, held[kind][0])) > 2_000_000:
                     keys, n = _merge(*held[kind])
                     held[kind] = ([keys], [n])
-                    if len(keys) > 2_000_000:
+                    if len(keys) > 1_200_000:
                         yield from flush(kind)
         yield from flush("w")
         yield from flush("g")
@@ -159,7 +160,10 @@ def _tables(grams: DataFrame) -> list[np.ndarray]:
     table = summed.toArrow()  # at most 2 * sum(SIZES) rows
     flat = np.zeros(2 * int(first[-1]), np.float32)
     flat[table["at"].to_numpy()] = table["n"].to_numpy()
-    return [flat[2 * a : 2 * b].reshape(-1, 2) for a, b in zip(first[:-1], first[1:])]
+    # Half precision keeps the tables small; very frequent slots are scaled, which keeps their odds.
+    pairs = flat.reshape(-1, 2)
+    pairs /= np.maximum(pairs.max(axis=1, keepdims=True) / 60_000, 1)
+    return [pairs[a:b].astype(np.float16) for a, b in zip(first[:-1], first[1:])]
 
 
 def _round(grams: DataFrame, shared) -> np.ndarray:
@@ -228,10 +232,10 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> Model:
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         model = Model(model.counts, _round(grams, shared))
-        shared.unpersist()
+        shared.destroy()
     shared = spark.sparkContext.broadcast(model)
     model.refined = _refinement(grams, shared)
-    shared.unpersist()
+    shared.destroy()
     return model
 
 
@@ -257,17 +261,43 @@ def frequent(vocabulary: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, n
     return keys[order], n[order]
 
 
+class Costs:
+    """Costs of windows, remembered between slices as sorted arrays; the limit bounds memory, never the result."""
+
+    def __init__(self, model: Model, limit: int = 1_500_000):
+        self.model, self.limit = model, limit
+        self.keys, self.bits = np.zeros(0, np.int64), np.zeros(0)
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        """Costs of sorted distinct windows."""
+        at = np.searchsorted(self.keys, found)
+        known = np.zeros(len(found), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == found[inside]
+        out = np.empty(len(found))
+        out[known] = self.bits[at[known]]
+        new = np.flatnonzero(~known)
+        for i in range(0, len(new), 1 << 16):
+            part = new[i : i + (1 << 16)]
+            out[part] = self.model.cost(found[part])
+        if len(self.keys) + len(new) > self.limit:
+            self.keys, self.bits = found, out
+        elif len(new):
+            self.keys, self.bits = np.insert(self.keys, at[new], found[new]), np.insert(self.bits, at[new], out[new])
+        return out
+
+
 def _score(shared, end_count: int):
     """Per text: tokens, known ones and their log sum, words left to join, and the model's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, keys, counts = shared.value
-        logs = np.log10(counts + 0.1)
-        for batch in sliced(batches, 1):
+        logs, costs = np.log10(counts + 0.1), Costs(model)
+        for batch in sliced(batches, 1, SLICE):
             raw = encoded(batch.column(1))
             grams, at = windows(raw)
             found, where = np.unique(grams, return_inverse=True)
-            bits = np.add.reduceat(model.cost(found)[where], at[:-1])
+            bits = np.add.reduceat(costs.of(found)[where], at[:-1])
             hashes, starts, offsets, _ = sh.words(raw)
             first = np.searchsorted(starts, offsets)
             n_words = np.diff(first)
@@ -307,6 +337,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     schema = "doc_id " + dict(rows.dtypes)["doc_id"] + ", n_tokens long, known long, logs double, rare array<long>, score double, n_bytes long"
     found = rows.mapInArrow(_score(shared, ends), schema).withColumn("row", F.monotonically_increasing_id())
     found = reread(spark, found, "lm-scores")
+    shared.destroy()
     rare = found.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     joined = rare.join(vocabulary, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     more = joined.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("more_logs"))
