@@ -131,6 +131,71 @@ def test_paragraphs(spark, corpus, empty, clashing):
     assert paragraphs.repeated(empty).count() == 0 and paragraphs.remove(empty).count() == 0
 
 
+def test_passages_inside_and_across_lines(spark):
+    """Passages planted inside lines, across line ends, in short lines, twice in a text; loops and short runs are none."""
+    from airloom.llm import passages
+
+    assert passages.WORDS == paragraphs.MIN_WORDS
+    rng = random.Random(8)
+    passage = [f"é{prose(rng, 1)}{i}" for i in range(65)]
+    short = [f"k{i}" for i in range(49)]
+    own = lambda n: " ".join(f"{prose(rng, 1)}{rng.random()}" for _ in range(n))
+    line, wrapped = " ".join(passage), "\n".join(" ".join(passage[i : i + 9]) for i in range(0, 65, 9))
+    texts = [f"{own(200)} {line} {own(120)}", f"{own(90)}\n{own(30)} {wrapped} {own(9)}\n\n{own(8)}", f"{own(300)} {line.upper().replace('É', 'é')} {own(80)} {line} {own(99)}"]
+    texts += [f"{own(90)} {' '.join(short)} {own(90)}" for _ in range(2)] + [" ".join(["same words again"] * 80)]
+    edited = [own(7) for _ in range(20)]
+    texts += ["\n".join(edited), own(60) + "\n" + "\n".join([*edited[:12], own(7), *edited[13:]])]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[1], (None, texts[0], "en", "s", 1)], SCHEMA)
+    out = [r for r in paragraphs.repeated(docs).collect()]
+    shown = lambda r: texts[r["doc_id"]][r["start"] : r["end"]].lower().split()
+    inside = [r for r in out if r["doc_id"] < 6]
+    assert Counter((r["doc_id"], r["removed"]) for r in inside) == Counter({(0, False): 1, (1, True): 1, (2, True): 2})
+    assert all(shown(r) == line.lower().split() and r["n_words"] == 65 and (r["keep_id"], r["keep_line"]) == (0, 0) for r in inside)
+    assert [r["line"] for r in inside if r["doc_id"] == 1] == [1]
+    assert {(r["doc_id"], r["line"], r["removed"]) for r in out if r["doc_id"] >= 6} == {(6, 0, False), (7, 1, True)}
+    got = {r["doc_id"]: r["text"] for r in paragraphs.remove(docs).filter("doc_id is not null").collect()}
+    assert [got[i] for i in (0, 3, 4, 5, 6)] == [texts[i] for i in (0, 3, 4, 5, 6)]
+    assert got[1].split() == texts[1].replace(wrapped, "").split() and got[1].count("\n") == 3
+    assert got[2].split() == [w for w in texts[2].split() if w.lower() not in set(line.lower().split())]
+    assert got[7] == texts[7].split("\n")[0]
+
+
+def plain_windows(texts):
+    """Words of each text in a window of 50 that occurs in an earlier place; texts without loops."""
+    seen, gone = set(), [set() for _ in texts]
+    for i, text in enumerate(texts):
+        w = text.split()
+        for p in range(len(w) - 49):
+            window = tuple(w[p : p + 50])
+            if window in seen:
+                gone[i].update(range(p, p + 50))
+            seen.add(window)
+    return gone
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(4_000)]
+    texts = []
+    for i in range(40):
+        w = [rng.choice(pool) for _ in range(150)]
+        for _ in range(3):
+            if texts:
+                source = rng.choice(texts).split()
+                a = rng.randrange(len(source) - 40)
+                b, at = a + rng.randrange(30, 90), rng.randrange(len(w))
+                w[at:at] = source[a:b]
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    out = paragraphs.repeated(docs, percent=99)
+    gone = [set() for _ in texts]
+    for r in out.filter("removed").collect():
+        first = len(texts[r["doc_id"]][: r["start"]].split())
+        gone[r["doc_id"]].update(range(first, first + r["n_words"]))
+    assert gone == plain_windows(texts) and sum(map(len, gone)) > 500
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3_000, 16)).astype(np.float32)
