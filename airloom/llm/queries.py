@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, context_mix, near_dup, neighbours, ngram_model, packing, paragraphs, secret_scan, token_counts, url_filter
+from airloom.llm import bpe, context_mix, conversation_repair, near_dup, neighbours, ngram_model, packing, paragraphs, secret_scan, token_counts, url_filter
 from airloom.llm.common import read
 from airloom.session import scratch_path
 
@@ -156,3 +156,10 @@ def op7_context_mix(spark, sf_dir):
 def op4_paragraph_dedup(spark, sf_dir):
     """Every occurrence of a paragraph that repeats in the documents, the first one kept."""
     return paragraphs.repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    """Faults and cheapest repairs of all conversations after damage."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair(conversation_repair.damage(rows))
