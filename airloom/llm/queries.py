@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, context_mix, conversation_repair, near_dup, neighbours, ngram_model, packing, paragraphs, secret_scan, token_counts, url_filter
+from airloom.llm import alignment, bpe, context_mix, conversation_repair, near_dup, neighbours, ngram_model, packing, paragraphs, secret_scan, token_counts, url_filter
 from airloom.llm.common import read
 from airloom.session import scratch_path
 
@@ -19,10 +19,10 @@ def query(build):
     return build
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 @query
@@ -163,3 +163,10 @@ def op13_conversation_repair(spark, sf_dir):
     """Faults and cheapest repairs of all conversations after damage."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_repair.repair(conversation_repair.damage(rows))
+
+
+@query
+def op12_alignment(spark, sf_dir):
+    """Groups and links of the two tokenizations of all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.link_counts(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
