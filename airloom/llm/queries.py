@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import alignment, bpe, context_mix, conversation_repair, near_dup, neighbours, ngram_model, packing, paragraphs, secret_scan, token_counts, url_filter
+from airloom.llm import alignment, bpe, context_mix, conversation_repair, near_dup, neighbours, ngram_model, packing, paragraphs, quality_classifier, secret_scan, token_counts, url_filter
 from airloom.llm.common import read
 from airloom.session import scratch_path
 
@@ -170,3 +170,10 @@ def op12_alignment(spark, sf_dir):
     """Groups and links of the two tokenizations of all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.link_counts(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op11_quality_classifier(spark, sf_dir):
+    """Quality scores of all documents, learned from the labels outside the held-out fifth."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.score(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
