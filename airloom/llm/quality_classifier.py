@@ -11,9 +11,12 @@ at most 1 / SHARE word vectors and SHAPES more, whatever the corpus.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,18 @@ def fold(key):
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5
 
 
+KINDS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+RUNS = re.compile(rb"(.)\1+", re.S).sub
+
+
+@lru_cache(1 << 15)
+def _bucket(kinds: bytes) -> int:
+    return zlib.crc32(RUNS(rb"\1", kinds)) % SHAPES
+
+
 def shape(word: bytes) -> int:
-    """Bucket of a word's shape, after the words of the vocabulary: `Thé33###` is `Aa0#`."""
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word.decode(errors="replace")]
-    return zlib.crc32("".join(k for i, k in enumerate(kinds) if not i or k != kinds[i - 1]).encode()) % SHAPES
+    """Bucket of a word's shape: `Th33###` is `Aa0#`; all letters beyond ASCII count as small ones."""
+    return _bucket(word.translate(KINDS))
 
 
 class Words(dict):
@@ -50,13 +61,15 @@ class Words(dict):
     def __init__(self, words: list[bytes]):
         super().__init__(zip(words, range(len(words))))
         self.known = len(words)
-        self.rare: dict[bytes, int] = {}
+        self.rare: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        if (row := self.rare.get(word)) is None:
-            if len(self.rare) > 200_000:
-                self.rare.clear()
-            row = self.rare[word] = self.known + shape(word)
+        if len(self.rare) > 200_000:
+            for w in self.rare:
+                del self[w]
+            self.rare.clear()
+        self.rare.append(word)
+        row = self[word] = self.known + shape(word)
         return row
 
 
@@ -101,14 +114,13 @@ def _rows(table: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all words end to end, and where each text begins and the last ends."""
     cut = [t.split() for t in texts]
     bounds = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
-    get = table.__getitem__
-    return np.fromiter((get(w) for c in cut for w in c), np.int64, int(bounds[-1])), bounds
+    return np.fromiter(map(table.__getitem__, chain.from_iterable(cut)), np.int64, int(bounds[-1])), bounds
 
 
 def _around(index: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of the index vectors within WINDOW words of each word, inside its text."""
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    own, out = index[rows], np.zeros((len(rows), SIZE), np.int32)
+    own, out = index[rows].astype(np.int8), np.zeros((len(rows), SIZE), np.int8)
     for k in range(1, WINDOW + 1):
         same = (doc[k:] == doc[:-k])[:, None]
         out[k:] += own[:-k] * same
@@ -129,7 +141,7 @@ def word_vectors(docs: DataFrame, vocabulary, rows: int, text: str = "text") ->
                 continue
             order = np.argsort(found, kind="stable")
             distinct, first = np.unique(found[order], return_index=True)
-            sums[distinct] += np.add.reduceat(_around(index, found, bounds)[order], first, axis=0)
+            sums[distinct] += np.add.reduceat(_around(index, found, bounds)[order], first, axis=0, dtype=np.int32)
             n += np.bincount(found, minlength=rows)
         seen = np.flatnonzero(n)
         for start in range(0, len(seen), 1 << 14):
@@ -162,7 +174,8 @@ def _pooled(vectors: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.nda
         after = np.zeros_like(own)
         after[: len(part) - 1] = own[: len(part) - 1] * part[1:] * (of[1:] == of[:-1])[:, None]
         texts, first = np.unique(of[:BLOCK], return_index=True)
-        sums[texts] += np.add.reduceat(np.concatenate([own, own * own, after], axis=1), first, axis=0, dtype=np.float64)
+        for k, part in enumerate((own, own * own, after)):
+            sums[texts, k * SIZE : (k + 1) * SIZE] += np.add.reduceat(part, first, axis=0)
     n = np.diff(bounds)[:, None]
     return np.concatenate([sums / np.maximum(n, 1), np.log1p(n)], axis=1).astype(np.float32)
 
