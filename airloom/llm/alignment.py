@@ -16,6 +16,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,14 @@ from pyspark.sql import functions as F
 from airloom.llm.bpe import byte_letters
 from airloom.llm.common import discard, encoded, reread, sliced
 
-LANE = 1024  # tokens of A in a lane
+LANE = 512  # tokens of A in a lane
 SLICE = 1 << 20  # bytes of text aligned at a time, at least one text
-MEMO = 200_000  # chunks a worker remembers twice over, never a bound on the result
+LONG = 24  # letters of a chunk that is still worth remembering
+MEMO = 64 << 20  # bytes of chunks a worker remembers, twice over; never a bound on the result
+ENTRY = 250  # bytes a remembered chunk takes besides its letters and ids
 TALLY = 1 << 19  # pairs a task sums before it lets them go
 HOT_PAIRS = 1 << 20  # bound of the broadcast: 17 bytes each
 SHIFT = 32
-CHUNK = re.compile(r"\s*\S+|\s+").findall
 SPACE = "▁"
 
 
@@ -39,7 +41,8 @@ class Pair:
     """Both encoders, with a memory of chunks: white space and the word after it.
 
     A cut between a word and white space is a token boundary for A, whose pattern lets no token run from one into the
-    other. It is one for B if no piece of several characters does so; otherwise texts are encoded whole.
+    other. It is one for B unless the white space is a character that B has in pieces of several (a carriage return):
+    there the chunk goes on. Were there pieces with a space after another character, texts would be encoded whole.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -60,53 +63,79 @@ class Pair:
             self.bytes_a[i] = bytes(byte_of.get(c, 0) for c in token)
         self.pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.tokens = [pa.array(table, pa.large_binary()) for table in (self.bytes_a, self.bytes_b)]
         self.sizes = [np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b)]
         words = [p for i, p in enumerate(self.pieces) if len(p) > 1 and not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i)]
-        self.cuttable = not any(re.search(r"\s", p) or re.search(f"[^{SPACE}]{SPACE}", p) for p in words)
+        glue = "".join(sorted({re.escape(c) for p in words for c in p if c.isspace()}))
+        self.cut = re.compile(rf"\s*+\S++(?:[{glue}]\s*+\S*+)*+|\s+" if glue else r"\s*+\S++|\s+").findall
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in words):
+            self.cut = lambda text: [text]
         self.blank = self.b.piece_to_id(SPACE)
         self.young: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
         self.odd: set[str] = set()
         ids = range(max(len(self.bytes_a), len(self.bytes_b)))
         self.decimals = pa.array([f"{i}{end}".encode() for i in ids for end in (",", "|", ";", "")], pa.large_binary())
 
-    def _pieces(self, chunk: str) -> list[int]:
-        """B's ids of a chunk, without the space that B puts in front unless the chunk begins with one."""
-        if chunk[0] == " ":
-            return self.b.encode(chunk[1:]) if len(chunk) > 1 else [self.blank]
-        return self.b.encode(chunk)[1:]
-
-    def chunks(self, text: str) -> list[str]:
-        return CHUNK(" " + text) if self.cuttable else [" " + text]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Have all these chunks in `young`."""
-        missing = []
-        for c in chunks.difference(self.young):
-            if (known := self.old.get(c)) is None:
-                missing.append(c)
-            else:
-                self.young[c] = known
-        found = self.a.encode_batch_fast(missing, add_special_tokens=False)
-        for c, e in zip(missing, found):
-            b = self._pieces(c)
-            if b"".join(map(self.bytes_a.__getitem__, e.ids)) != c.encode() or b"".join(map(self.bytes_b.__getitem__, b)) != c.encode():
-                self.odd.add(c)
-            self.young[c] = np.array(e.ids, np.int32).tobytes(), np.array(b, np.int32).tobytes()
+    def _pieces(self, chunks: list[str]) -> list[list[int]]:
+        """B's ids of chunks, without the space that B puts in front unless the chunk begins with one."""
+        found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        return [([self.blank] if c == " " else ids) if c[0] == " " else ids[1:] for c, ids in zip(chunks, found)]
+
+    def _gives_back(self, k: int, ids: np.ndarray, cuts: np.ndarray, chunks: list[str]) -> list[bool]:
+        """Whether the bytes of each chunk's ids are the chunk."""
+        joined = self.tokens[k].take(pa.array(ids))
+        _, offsets, data = joined.buffers()
+        raw, at = data.to_pybytes() if data else b"", np.frombuffer(offsets, np.int64)[cuts]
+        wanted = [c.encode() for c in chunks]
+        if np.array_equal(np.diff(at), [len(w) for w in wanted]) and raw[: at[-1]] == b"".join(wanted):
+            return [True] * len(chunks)
+        return [raw[i:j] == w for w, i, j in zip(wanted, at, at[1:])]
+
+    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Packed ids of A and B of all these chunks."""
+        out, missing = {}, []
+        for c in chunks:
+            if (known := self.young.get(c)) is None:
+                if (known := self.old.get(c)) is None:
+                    missing.append(c)
+                    continue
+                self._keep(c, known)
+            out[c] = known
+        if missing:
+            found = [[e.ids for e in self.a.encode_batch_fast(missing, add_special_tokens=False)], self._pieces(missing)]
+            packed, right = [], []
+            for k, lists in enumerate(found):
+                cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                ids = np.fromiter(chain.from_iterable(lists), np.int32, int(cuts[-1]))
+                right.append(self._gives_back(k, ids, cuts, missing))
+                raw, at = ids.tobytes(), (4 * cuts).tolist()
+                packed.append([raw[i:j] for i, j in zip(at, at[1:])])
+            self.odd.update(c for c, a, b in zip(missing, *right) if not (a and b))
+            for c, *known in zip(missing, *packed):
+                out[c] = known = tuple(known)
+                if len(c) <= LONG:
+                    self._keep(c, known)
+        return out
+
+    def _keep(self, chunk: str, known: tuple[bytes, bytes]) -> None:
+        self.young[chunk] = known
+        self.held += ENTRY + len(chunk) + len(known[0]) + len(known[1])
 
     def forget(self) -> None:
         """Let the older half go once the younger is full: frequent chunks stay."""
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {}
+        if self.held > MEMO:
+            self.old, self.young, self.held = self.young, {}, 0
             self.odd.intersection_update(self.old)
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Packed ids of A and B of each text; none where there is no text or one of them does not give it back."""
-        cut = [self.chunks(t.decode()) if t else [] for t in texts]
-        self.learn(set().union(*cut))
+        cut = [self.cut(" " + t.decode()) if t else [] for t in texts]
+        known = self.learn(set().union(*cut))
         out = []
         for text, chunks in zip(texts, cut):
-            a, b = (b"".join([self.young[c][k] for c in chunks]) for k in (0, 1))
+            a, b = (b"".join(x) for x in zip(*map(known.__getitem__, chunks))) if chunks else (b"", b"")
             if self.odd and not self.odd.isdisjoint(chunks):
                 joined = [b"".join(map(t.__getitem__, np.frombuffer(x, np.int32))) for t, x in ((self.bytes_a, a), (self.bytes_b, b))]
                 if joined != [b" " + text] * 2:

@@ -59,6 +59,7 @@ def found(df):
 ODD = [
     "a  b", " lead", "tail ", "  ", " ", "\n", "a \n  b\n\nc", "tab\tx \t y", "under▁score", "a <s> </s><unk> <|endoftext|> <0x41>", "é é ﻿　x y",
     "😀👍🏽 漢字かな", "it's don't 'll", "x" * 3000, "1234567 8,9", "\x00\x1c\x1d a", "w\n" * 500, "ÀÉ z", "...!!!  ???",
+    "if (x) {\r\n  y();\r\n}\r\n\r\n", "a,\r b \r\r c\r", "\r", "\r\rx", "\n\r \r\n z",
 ]
 
 
@@ -80,7 +81,7 @@ def test_rare_pairs_go_through_the_join(spark, rows):
 
 
 def test_small_memory_and_lanes(spark, rows, monkeypatch):
-    for name, value in (("LANE", 7), ("MEMO", 50), ("SLICE", 2000)):
+    for name, value in (("LANE", 7), ("MEMO", 20_000), ("SLICE", 2000)):
         monkeypatch.setattr(alignment, name, value)
     pair = alignment.Pair(A, B)
     texts = [(t or "").encode() for _, t in rows]
