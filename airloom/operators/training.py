@@ -4,27 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.contracts import LAGS, MAX_HORIZON, MODEL_FEATURES, REFERENCE_FEATURES, TARGET, TARGET_FEATURES, WEATHER
 from airloom.functions.hours import hour_index, plus_hours
 from airloom.operators.features import calendar_features, circular_encode, history_columns, target_weather_features
-from airloom.operators.joins import expand_horizons
 from airloom.operators.series import HOUR, attach_per_key, halo, hour_window, numbered_hours, own_rows
+from airloom.session import materialized
 
 MIN_NEW_HOURS = 168
 RATIOS = (0.70, 0.15)
 
 
-def latest_eligible(pollution: DataFrame, weather: DataFrame, keys: Sequence[str], t: str, horizons: int) -> DataFrame:
-    """Last reference hour per key whose whole horizon can be labelled."""
-    p = pollution.groupBy(*keys).agg(F.max(t).alias("_p"))
-    w = weather.groupBy(*keys).agg(F.max(t).alias("_w"))
-    return p.join(w, list(keys)).select(*keys, plus_hours(F.least("_p", "_w"), -horizons).alias("_eligible"))
+def _all_present(columns: Sequence[str]):
+    test = F.lit(True)
+    for c in columns:
+        test = test & F.col(c).isNotNull()
+    return test
 
 
-def training_candidates(
+def hour_table(
+    reference: DataFrame, pollution: DataFrame, weather: DataFrame, keys: Sequence[str], t: str = "datetime_utc", v: str = "pm25_ug_m3"
+) -> DataFrame:
+    """One row per key and hour `_t`: its reference features, and what it offers as a target (label, weather)."""
+    on = [*keys, "_t"]
+    refs = reference.select(*keys, F.col("reference_time").alias("_t"), *REFERENCE_FEATURES, F.lit(True).alias("_is_reference"))
+    labels = pollution.select(*keys, F.col(t).alias("_t"), F.col(v).alias(TARGET), F.lit(True).alias("_has_label"))
+    target = target_weather_features(weather, keys, t).withColumnRenamed("target_time", "_t").withColumn("_has_weather", F.lit(True))
+    return refs.join(labels, on, "full").join(target, on, "full")
+
+
+def _ahead(keys: Sequence[str], flags: dict[str, str], horizons: int) -> dict:
+    """Numbers of flagged rows in the next `horizons` hours, each the difference of two running counts.
+
+    Both frames begin with the bucket and only grow, so a row costs the same whatever the horizon.
+    """
+    w = hour_window(keys)
+    upto, here = w.rangeBetween(Window.unboundedPreceding, horizons), w.rangeBetween(Window.unboundedPreceding, 0)
+    return {name: F.count_if(F.col(flag)).over(upto) - F.count_if(F.col(flag)).over(here) for name, flag in flags.items()}
+
+
+def packed_candidates(
     reference: DataFrame,
     pollution: DataFrame,
     weather: DataFrame,
@@ -33,24 +54,94 @@ def training_candidates(
     v: str = "pm25_ug_m3",
     horizons: int = MAX_HORIZON,
 ) -> DataFrame:
-    """Eligible references x horizons with target weather and label, from separate tables.
+    """One row per eligible reference, whose whole horizon lies before the last label and the last weather of its key.
 
-    References are filtered before the expansion. Labels and target weather are
-    combined per hour first, so the expanded rows meet a single join.
+    `_labels`, `_features` and `_valid` count its next hours with a label, with all target features and with both
+    (`_valid` is 0 if a feature of the reference itself is missing); `_targets` lists those hours. The hour table is
+    written once, because limits, counts and lists all read it.
     """
-    eligible = latest_eligible(pollution, weather, keys, t, horizons)
-    chosen = attach_per_key(reference, eligible, keys, "reference_time").filter("reference_time <= _eligible").drop("_eligible")
-    labels = pollution.select(*keys, F.col(t).alias("target_time"), F.col(v).alias(TARGET))
-    per_hour = labels.join(target_weather_features(weather, keys, t), [*keys, "target_time"], "full")
-    out = expand_horizons(chosen, horizons).join(per_hour, [*keys, "target_time"], "left")
-    return out.select(*keys, "reference_time", "target_time", *MODEL_FEATURES, TARGET)
+    hours = materialized(hour_table(reference, pollution, weather, keys, t, v), "training-hours")
+    latest = [F.max(F.when(F.col(has), F.col("_t"))) for has in ("_has_label", "_has_weather")]
+    # `least` passes over nulls: a key without one of them has no eligible reference.
+    ends = hours.groupBy(*keys).agg(F.when(latest[0].isNotNull() & latest[1].isNotNull(), plus_hours(F.least(*latest), -horizons)).alias("_eligible"))
+    flagged = hours.withColumns({"_ok": F.col(TARGET).isNotNull(), "_full": _all_present(TARGET_FEATURES)})
+    near = halo(flagged.withColumn("_both", F.col("_ok") & F.col("_full")), keys, "_t", ahead=horizons)
+    target = F.struct(F.col(HOUR).alias("_th"), TARGET, *TARGET_FEATURES)
+    counts = _ahead(keys, {"_labels": "_ok", "_features": "_full", "_valid": "_both"}, horizons)
+    near = near.withColumns({**counts, "_targets": F.collect_list(target).over(hour_window(keys).rangeBetween(1, horizons))})
+    chosen = own_rows(near.filter("_home AND _is_reference")).withColumnRenamed("_t", "reference_time")
+    chosen = attach_per_key(chosen, ends, keys, "reference_time").filter("reference_time <= _eligible")
+    return chosen.select(
+        *keys,
+        "reference_time",
+        *REFERENCE_FEATURES,
+        _all_present(REFERENCE_FEATURES).alias("_complete"),
+        "_labels",
+        "_features",
+        F.when(_all_present(REFERENCE_FEATURES), F.col("_valid")).otherwise(0).alias("_valid"),
+        "_targets",
+    )
 
 
-def _all_present(columns: Sequence[str]):
-    test = F.lit(True)
-    for c in columns:
-        test = test & F.col(c).isNotNull()
-    return test
+def candidate_rows(packed: DataFrame, keys: Sequence[str], horizons: int = MAX_HORIZON) -> DataFrame:
+    """Packed references -> one row per horizon, absent hours with nulls; a narrow explode after the last shuffle."""
+    kind = packed.schema["_targets"].dataType.elementType
+    first = hour_index("reference_time")
+
+    def at(h):
+        absent = F.struct((first + h).alias("_th"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[1:]])
+        return F.coalesce(F.get(F.filter("_targets", lambda x: x["_th"] == first + h), F.lit(0)), absent.cast(kind))
+
+    whole = F.when(F.size("_targets") == horizons, F.col("_targets")).otherwise(F.transform(F.sequence(F.lit(1), F.lit(horizons)), at))
+    return _expanded(packed, keys, whole)
+
+
+def complete_rows(packed: DataFrame, keys: Sequence[str], horizons: int = MAX_HORIZON) -> DataFrame:
+    """Training rows of the references that keep all their horizons; nothing incomplete is ever expanded."""
+    return _expanded(packed.filter(F.col("_valid") == horizons), keys, F.col("_targets"))
+
+
+def rejection_counts(packed: DataFrame, keys: Sequence[str], horizons: int = MAX_HORIZON) -> DataFrame:
+    """Candidate rows with a missing feature, a missing label, and valid rows lost with a partial reference.
+
+    Counts per reference add up, so no row is expanded.
+    """
+    whole = F.col("_valid") == horizons
+    lacking = F.when(F.col("_complete"), F.lit(horizons) - F.col("_features")).otherwise(horizons)
+    return packed.groupBy(*keys).agg(
+        (F.count("*") * horizons).alias("candidate_rows"),
+        F.sum(lacking).alias("missing_feature_rows"),
+        F.sum(F.lit(horizons) - F.col("_labels")).alias("missing_target_rows"),
+        F.sum(F.when(whole, 0).otherwise(F.col("_valid"))).alias("partial_reference_rows_removed"),
+        (F.count_if(whole) * horizons).alias("final_rows"),
+    )
+
+
+def training_candidates(
+    reference: DataFrame,
+    pollution: DataFrame,
+    weather: DataFrame,
+    keys: Sequence[str],
+    t: str = "datetime_utc",
+    v: str = "pm25_ug_m3",
+    horizons: int = MAX_HORIZON,
+) -> DataFrame:
+    """Eligible references x horizons with target weather and label, from separate tables."""
+    return candidate_rows(packed_candidates(reference, pollution, weather, keys, t, v, horizons), keys, horizons)
+
+
+def complete_references(
+    canonical_hours: DataFrame, keys: Sequence[str], t: str = "datetime_utc", v: str = "pm25_ug_m3", horizons: int = MAX_HORIZON
+) -> DataFrame:
+    """Rows (keys, reference_time) of the references that `labelled_references` keeps, without their features.
+
+    Split bounds, counts and purge need no more than this, one row an hour.
+    """
+    hours = canonical_hours.select(*keys, t, v, _all_present(WEATHER).alias("_weather")).withColumn("_ok", F.col("_weather") & F.col(v).isNotNull())
+    history = history_columns(hour_window(keys), v)
+    near = halo(hours, keys, t, back=max(LAGS), ahead=horizons).withColumns({**history, **_ahead(keys, {"_valid": "_ok"}, horizons)})
+    whole = F.col("_home") & F.col("_ok") & (F.col("_valid") == horizons) & _all_present(list(history))
+    return near.filter(whole).select(*keys, F.col(t).alias("reference_time"))
 
 
 def complete_training_rows(
@@ -99,8 +190,11 @@ def labelled_references(
 def expand_references(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Packed references -> training rows; a narrow explode that carries any extra columns along."""
     known = [*keys, "reference_time", *REFERENCE_FEATURES, "_targets"]
-    extra = [c for c in packed.columns if c not in known]
-    out = packed.select(*keys, "reference_time", *REFERENCE_FEATURES, *extra, F.inline("_targets"))
+    return _expanded(packed, keys, F.col("_targets"), [c for c in packed.columns if c not in known])
+
+
+def _expanded(packed: DataFrame, keys: Sequence[str], targets: Column, extra: Sequence[str] = ()) -> DataFrame:
+    out = packed.select(*keys, "reference_time", *REFERENCE_FEATURES, *extra, F.inline(targets))
     return (
         out.withColumn("target_time", F.timestamp_seconds(F.col("_th") * 3600))
         .withColumn("forecast_horizon_hours", (F.col("_th") - hour_index("reference_time")).cast("int"))
@@ -125,12 +219,41 @@ def training_set(
 
 
 def split_training_set(
-    canonical_hours: DataFrame, keys: Sequence[str], t: str = "datetime_utc", v: str = "pm25_ug_m3", horizons: int = MAX_HORIZON
+    canonical_hours: DataFrame,
+    keys: Sequence[str],
+    t: str = "datetime_utc",
+    v: str = "pm25_ug_m3",
+    horizons: int = MAX_HORIZON,
+    purge: bool = True,
 ) -> DataFrame:
-    """Complete, split and purged training rows. Bounds, labels and purge all work on packed references."""
-    packed = labelled_references(canonical_hours, keys, t, v, horizons)
-    bounds = split_bounds(packed)
-    return expand_references(purge_references(chronological_split(packed, bounds=bounds), bounds, horizons), keys)
+    """Complete, split and purged training rows. Labels and purge work on packed references, bounds on their hours alone."""
+    bounds = _known(split_bounds(materialized(complete_references(canonical_hours, keys, t, v, horizons), "complete-references")))
+    packed = chronological_split(labelled_references(canonical_hours, keys, t, v, horizons), bounds=bounds)
+    return expand_references(purge_references(packed, bounds, horizons) if purge else packed, keys)
+
+
+def _known(bounds: DataFrame) -> DataFrame:
+    """The one row of bounds, found once, as constants: every use of a scalar subquery would find it again."""
+    row = bounds.first()
+    return bounds.sparkSession.range(1).select(*[F.lit(row[c]).cast("timestamp").alias(c) for c in bounds.columns])
+
+
+def split_references(
+    canonical_hours: DataFrame,
+    keys: Sequence[str],
+    t: str = "datetime_utc",
+    v: str = "pm25_ug_m3",
+    horizons: int = MAX_HORIZON,
+    purge: bool = True,
+) -> DataFrame:
+    """Rows (keys, reference_time, split) of the complete references, purged on request: what counts and reports need.
+
+    The references are written once, since both bounds and the result read them.
+    """
+    hours = materialized(complete_references(canonical_hours, keys, t, v, horizons), "complete-references")
+    bounds = _known(split_bounds(hours))
+    split = chronological_split(hours, bounds=bounds)
+    return purge_references(split, bounds, horizons) if purge else split
 
 
 def purge_references(packed: DataFrame, bounds: DataFrame, horizons: int = MAX_HORIZON) -> DataFrame:
@@ -138,6 +261,27 @@ def purge_references(packed: DataFrame, bounds: DataFrame, horizons: int = MAX_H
     return purge_split(packed, horizons=horizons, bounds=bounds)
 
 
+def describe_references(references: DataFrame, horizons: int = MAX_HORIZON) -> DataFrame:
+    """Rows, reference hours and time ranges per split of complete references, which have every horizon."""
+    per_hour = references.groupBy("split", "reference_time").agg(F.count("*").alias("_n"))
+    return per_hour.groupBy("split").agg(
+        (F.sum("_n") * horizons).alias("row_count"),
+        F.count("*").alias("reference_count"),
+        F.min("reference_time").alias("reference_start"),
+        F.max("reference_time").alias("reference_end"),
+        plus_hours(F.min("reference_time"), 1).alias("target_start"),
+        plus_hours(F.max("reference_time"), horizons).alias("target_end"),
+    )
+
+
+def reference_coverage(references: DataFrame, horizons: int = MAX_HORIZON) -> DataFrame:
+    """Rows per horizon and split of complete references; no rows without any."""
+    splits = ("train", "validation", "test")
+    counts = references.agg(*[F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in splits])
+    some = counts.filter(" + ".join(f"{s}_rows" for s in splits) + " > 0")
+    return some.select(F.explode(F.sequence(F.lit(1), F.lit(horizons))).alias("forecast_horizon_hours"), *[f"{s}_rows" for s in splits])
+
+
 def _with_target_columns(hours: DataFrame, t: str) -> DataFrame:
     """Target-side weather and calendar, computed once per hour instead of once per horizon."""
     out = hours.withColumns({f"target_{c}": F.col(c).cast("double") for c in WEATHER})

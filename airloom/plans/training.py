@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from airloom.contracts import LAGS, MODEL_FEATURES, REFERENCE_FEATURES, TARGET, TARGET_FEATURES, WEATHER
@@ -328,53 +326,43 @@ cte(
     """SELECT * FROM (SELECT *, MAX(target_time) OVER (PARTITION BY reference_time) AS last FROM train_split) WHERE split = 'test' OR (split = 'train' AND last < vs) OR (split = 'validation' AND last < ts)""",
     "train_split",
 )
-_SHOWN = ["pm25_current", "pm25_lag_24h", "pm25_mean_24h", "pm25_change_6h", "temperature_2m", "reference_hour_sin", "target_temperature_2m", "target_wind_direction_10m_cos", "target_month_cos", TARGET]
 _ID = "location_key, reference_time, target_time, forecast_horizon_hours"
+_ALL = [*REFERENCE_FEATURES, *TARGET_FEATURES, TARGET]
 
 
-def _shown(df):
-    return df.select(*[c.strip() for c in _ID.split(",")], *_SHOWN)
-
-
-@lru_cache(maxsize=8)
 def candidates(spark, folder):
-    return tr.training_candidates(references(spark, folder), pollution(spark, folder), weather(spark, folder), KEY)
+    return tr.packed_candidates(references(spark, folder), pollution(spark, folder), weather(spark, folder), KEY)
 
 
-@lru_cache(maxsize=8)
-def packed_rows(spark, folder):
-    return tr.labelled_references(canonical_hours(spark, folder), KEY)
+def split_rows(spark, folder):
+    return tr.split_training_set(canonical_hours(spark, folder), KEY, purge=False)
 
 
-@lru_cache(maxsize=8)
-def complete_rows(spark, folder):
-    return tr.expand_references(packed_rows(spark, folder), KEY)
+def purged_rows(spark, folder):
+    return tr.split_training_set(canonical_hours(spark, folder), KEY)
 
 
-@lru_cache(maxsize=8)
-def split_rows(spark, folder):
-    packed = packed_rows(spark, folder)
-    return tr.expand_references(tr.chronological_split(packed, bounds=tr.split_bounds(packed)), KEY)
+def split_hours(spark, folder, purge=True):
+    return tr.split_references(canonical_hours(spark, folder), KEY, purge=purge)
 
 
-@lru_cache(maxsize=8)
-def purged_rows(spark, folder):
-    return tr.split_training_set(canonical_hours(spark, folder), KEY)
+def _split_ids(references):
+    return jn.expand_horizons(references).select(*[c.strip() for c in _ID.split(",")], "split")
 
 
-@query("training_candidates", with_ctes(f"SELECT {_ID}, {_r(_SHOWN)} FROM train_candidates", "train_candidates"))
+@query("training_candidates", with_ctes(f"SELECT {_ID}, {_r(_ALL)} FROM train_candidates", "train_candidates"))
 def training_candidates(spark, folder):
-    return _shown(candidates(spark, folder))
+    return tr.candidate_rows(candidates(spark, folder), KEY)
 
 
-@query("complete_training_rows", with_ctes(f"SELECT {_ID}, {_r(_SHOWN)} FROM train_rows", "train_rows"))
+@query("complete_training_rows", with_ctes(f"SELECT {_ID}, {_r(_ALL)} FROM train_rows", "train_rows"))
 def complete_training_rows(spark, folder):
-    return _shown(tr.complete_training_rows(candidates(spark, folder), KEY))
+    return tr.complete_rows(candidates(spark, folder), KEY)
 
 
 @query("training_set", with_ctes(f"SELECT {_ID}, {_r([*REFERENCE_FEATURES, *TARGET_FEATURES, TARGET])} FROM train_rows", "train_rows"))
 def training_set(spark, folder):
-    return complete_rows(spark, folder)
+    return tr.training_set(canonical_hours(spark, folder), KEY)
 
 
 _FEATURES_OK = "(" + " + ".join(f"({c} IS NULL)::INT" for c in MODEL_FEATURES) + ") = 0"
@@ -390,19 +378,17 @@ FROM (SELECT *, {_OK} AS ok, COUNT(CASE WHEN {_OK} THEN 1 END) OVER (PARTITION B
     ),
 )
 def rejection_report(spark, folder):
-    return tr.rejection_report(candidates(spark, folder), KEY)
+    return tr.rejection_counts(candidates(spark, folder), KEY)
 
 
 @query("chronological_split", with_ctes(f"SELECT {_ID}, split FROM train_split", "train_split"))
 def chronological_split(spark, folder):
-    return split_rows(spark, folder).select(*[c.strip() for c in _ID.split(",")], "split")
+    return _split_ids(split_hours(spark, folder, purge=False))
 
 
 @query("purge_split", with_ctes(f"SELECT {_ID}, split FROM train_purged", "train_purged"))
 def purge_split(spark, folder):
-    packed = packed_rows(spark, folder)
-    bounds = tr.split_bounds(packed)
-    return tr.purge_split(split_rows(spark, folder), bounds=bounds).select(*[c.strip() for c in _ID.split(",")], "split")
+    return _split_ids(split_hours(spark, folder))
 
 
 @query(
@@ -410,7 +396,8 @@ def purge_split(spark, folder):
     with_ctes(f"SELECT {_ID}, split FROM train_split WHERE split = 'test' OR (split = 'train' AND target_time < vs) OR (split = 'validation' AND target_time < ts)", "train_split"),
 )
 def purge_split_rows(spark, folder):
-    return tr.purge_split(split_rows(spark, folder), mode="row").select(*[c.strip() for c in _ID.split(",")], "split")
+    split = split_hours(spark, folder, purge=False)
+    return tr.purge_split(_split_ids(split), mode="row")
 
 
 @query(
@@ -418,7 +405,7 @@ def purge_split_rows(spark, folder):
     with_ctes("SELECT split, COUNT(*) AS row_count, COUNT(DISTINCT reference_time) AS reference_count, MIN(reference_time) AS reference_start, MAX(reference_time) AS reference_end, MIN(target_time) AS target_start, MAX(target_time) AS target_end FROM train_purged GROUP BY 1", "train_purged"),
 )
 def describe_split(spark, folder):
-    return tr.describe_split(purged_rows(spark, folder))
+    return tr.describe_references(split_hours(spark, folder))
 
 
 @query(
@@ -426,7 +413,7 @@ def describe_split(spark, folder):
     with_ctes("SELECT forecast_horizon_hours, COUNT(CASE WHEN split = 'train' THEN 1 END) AS train_rows, COUNT(CASE WHEN split = 'validation' THEN 1 END) AS validation_rows, COUNT(CASE WHEN split = 'test' THEN 1 END) AS test_rows FROM train_purged GROUP BY 1", "train_purged"),
 )
 def horizon_coverage(spark, folder):
-    return tr.horizon_coverage(purged_rows(spark, folder))
+    return tr.reference_coverage(split_hours(spark, folder))
 
 
 @query(
@@ -440,7 +427,7 @@ FROM (SELECT t.location_key, e.production_training_end, MAX(reference_time) AS l
     ),
 )
 def retraining_eligibility(spark, folder):
-    rows = packed_rows(spark, folder)
+    rows = tr.complete_references(canonical_hours(spark, folder), KEY)
     offset = F.when(F.col("location_key") == "view", 700).otherwise(400).cast("bigint")
     ends = rows.groupBy(*KEY).agg(F.min("reference_time").alias("_m")).select(
         *KEY, F.when(F.col("location_key") != "error", plus_hours("_m", offset)).alias("production_training_end")

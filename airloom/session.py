@@ -59,3 +59,10 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared folder that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def materialized(df, name: str):
+    """Write to the shared folder and read back: what several parts of a job need is derived once, and lineage is cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
