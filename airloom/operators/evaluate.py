@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from airloom.functions.numbers import is_infinite, percent_change
 from airloom.operators.quantiles import exact_quantiles
 from airloom.operators.series import numbered_hours
+from airloom.session import materialized
 
 # Horizon groups (name, first, last) and the severe threshold.
 HORIZON_GROUPS = (("1_6", 1, 6), ("7_12", 7, 12), ("13_24", 13, 24), ("25_48", 25, 48), ("49_72", 49, 72))
@@ -124,6 +125,7 @@ def band_metrics(errors: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> D
 
 def bias_summary(errors: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     """Mean and exact median residual with the direction rates."""
+    errors = materialized(errors.select(*by, y, p, "residual", "prediction_bias_direction"), "errors")
     rates = errors.groupBy(*by).agg(
         F.count("*").alias("row_count"),
         F.avg(y).alias("mean_actual_pm25"),
@@ -136,16 +138,17 @@ def bias_summary(errors: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFr
     return rates.join(exact_quantiles(errors, by, "residual", {"median_residual": 0.5}), list(by), "left")
 
 
-def error_by(errors: DataFrame, column: Column | str, name: str) -> DataFrame:
-    """Rows, MAE and mean residual by horizon, target hour or any other column."""
+def error_by(errors: DataFrame, column: Column | str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, MAE and mean residual by horizon, target hour or any other column, within `by`."""
     column = F.col(column) if isinstance(column, str) else column
-    return errors.groupBy(column.alias(name)).agg(
+    return errors.groupBy(*by, column.alias(name)).agg(
         F.count("*").alias("row_count"), F.avg("absolute_error").alias("mae"), F.avg("residual").alias("mean_residual")
     )
 
 
 def error_distribution(errors: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean signed error and exact median, p90, p95, p99 of the absolute error."""
+    errors = materialized(errors.select(*by, "residual", "absolute_error"), "errors")
     quantiles = exact_quantiles(
         errors, by, "absolute_error",
         {"median_absolute_error": 0.5, "p90_absolute_error": 0.9, "p95_absolute_error": 0.95, "p99_absolute_error": 0.99},

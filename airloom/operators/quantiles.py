@@ -1,77 +1,93 @@
-"""Exact quantiles of groups of any size."""
+"""Exact quantiles of groups of any size by selection: counts first, then only values near a wanted rank move."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airloom.operators.series import SALTS
+from airloom.session import materialized
 
-CUTS = 64
+OCTAVE = 64  # first slices per doubling of 1 + |value|
+PARTS = 1024  # second slices, of equal width, in a first slice that holds a wanted rank
+BROADCAST_ROWS = 200_000  # wanted slices are broadcast up to so many, joined beyond
+_BEYOND = 1 << 20
+
+
+def _slice(v: Column) -> Column:
+    """Order-preserving coarse slice of any double; infinities and NaN have slices of their own."""
+    size = F.floor(F.log2(F.lit(1.0) + F.abs(v)) * F.lit(float(OCTAVE)))
+    return (
+        F.when(F.isnan(v), F.lit(_BEYOND + 1))
+        .when(F.abs(v) == F.lit(float("inf")), F.when(v > 0, F.lit(_BEYOND)).otherwise(F.lit(-_BEYOND)))
+        .otherwise(F.when(v >= 0, size).otherwise(-1 - size))
+        .cast("int")
+    )
+
+
+def _part(v: Column) -> Column:
+    """Order-preserving part of a first slice between its least and greatest value."""
+    share = (v - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    return F.when(F.col("_high") > F.col("_low"), F.floor(share * F.lit(float(PARTS))).cast("int")).otherwise(0)
+
+
+def _holding(counts: DataFrame, group: Sequence[str], inner: Sequence[str], order: str, probabilities: Sequence[float]) -> DataFrame:
+    """Slices that hold a wanted rank; `_before` becomes the number of values below the slice in its group."""
+    running = Window.partitionBy(*group, *inner).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    test = F.lit(False)
+    for p in probabilities:
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        test = test | ((F.ceil(at) >= F.col("_before")) & (F.floor(at) < F.col("_before") + F.col("_n")))
+    return placed.filter(test)
+
+
+def _bounded(wanted: DataFrame) -> DataFrame:
+    return F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], v: str, probabilities: Mapping[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group, without gathering a group in one task.
 
-    1. equal values are merged with their counts (partial aggregation);
-    2. an approximate sketch proposes cut points per group, which only decide
-       how the work is split and never the answer;
-    3. counts per slice give the rank range of each slice;
-    4. running counts inside the slices holding a wanted rank give the exact order statistics.
+    1. partial aggregation counts the values of each coarse slice; running counts name the slices that hold a
+       wanted rank, at most two per quantile and group;
+    2. those slices are cut into parts of equal width and counted again;
+    3. only values of parts that hold a wanted rank are merged, shuffled and put in order.
+
+    `df` is read three times, so callers store what is dear to derive. Nulls do not count, NaN is the greatest value.
     """
-    by = list(by)
-    one = F.lit(0).alias("_all")
-    grouped = df.filter(F.col(v).isNotNull()).select(*by, one, F.col(v).cast("double").alias("_v"))
     group = [*by, "_all"]
-    counted = grouped.groupBy(*group, "_v").agg(F.count("*").alias("_n"))
-    marks = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    totals = grouped.groupBy(*group).agg(
-        F.percentile_approx("_v", marks, F.lit(1000)).alias("_cuts"), F.count("*").alias("_total")
-    )
-    salted = counted.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(SALTS)))
-    spread = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sliced = salted.join(spread, [*group, "_salt"]).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    )
-    sizes = sliced.groupBy(*group, "_slice", "_total").agg(F.sum("_n").alias("_size"))
-    running = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(running), F.lit(0)))
-    wanted = F.array(
+    values = df.filter(F.col(v).isNotNull()).select(*by, F.lit(0).alias("_all"), F.col(v).cast("double").alias("_v"))
+    values = values.withColumn("_slice", _slice(F.col("_v")))
+    ranks = list(probabilities.values())
+    counts = values.groupBy(*group, "_slice").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    counts = counts.withColumns({"_total": F.sum("_n").over(Window.partitionBy(*group)), "_before": F.lit(0)})
+    slices = materialized(_holding(counts, group, [], "_slice", ranks).drop("_n"), "wanted-slices")
+    near = values.join(_bounded(slices), [*group, "_slice"]).withColumn("_part", _part(F.col("_v")))
+    same = [*group, "_slice"]
+    counts = near.groupBy(*same, "_part").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("_total", "_before", "_low", "_high")])
+    parts = materialized(_holding(counts, group, ["_slice"], "_part", ranks).drop("_n"), "wanted-parts")
+    wanted = parts.groupBy(*same, "_total", "_low", "_high").agg(F.map_from_entries(F.collect_list(F.struct("_part", "_before"))).alias("_parts"))
+    held = values.join(_bounded(wanted), same).withColumn("_part", _part(F.col("_v"))).withColumn("_before", F.col("_parts")[F.col("_part")])
+    merged = held.filter("_before IS NOT NULL").groupBy(*same, "_part", "_total", "_before", "_v").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy(*same, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = merged.withColumn("_rank", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+
+    def order_statistic(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_rank")) & (rank < F.col("_rank") + F.col("_n")), F.col("_v")))
+
+    columns = []
+    for name, p in probabilities.items():
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        columns += [order_statistic(F.floor(at)).alias(f"_low_{name}"), order_statistic(F.ceil(at)).alias(f"_high_{name}")]
+    ends = placed.groupBy(*group, "_total").agg(*columns)
+    return ends.select(
+        *by,
         *[
-            F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
+            F.when(F.col(f"_low_{name}") == F.col(f"_high_{name}"), F.col(f"_low_{name}"))
+            .otherwise(F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (F.lit(float(p)) * (F.col("_total") - 1) - F.floor(F.lit(float(p)) * (F.col("_total") - 1))))
+            .alias(name)
             for name, p in probabilities.items()
-        ]
-    )
-    targets = (
-        ranges.withColumn("_w", F.explode(wanted))
-        .filter(
-            (F.ceil("_w.pos") >= F.col("_before")) & (F.floor("_w.pos") < F.col("_before") + F.col("_size"))
-        )
-        .groupBy(*group, "_slice", "_before")
-        .agg(F.collect_list("_w").alias("_wanted"))
-    )
-    inside = Window.partitionBy(*group, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        sliced.select(*group, "_slice", "_v", "_n")
-        .join(targets, [*group, "_slice"])
-        .withColumn("_rank", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    )
-
-    def statistic(end: str):
-        hit = (F.col(f"_{end}") >= F.col("_rank")) & (F.col(f"_{end}") < F.col("_rank") + F.col("_n"))
-        return F.max(F.when(hit, F.col("_v"))).alias(f"_v_{end}")
-
-    points = (
-        ranked.withColumn("_w", F.explode("_wanted"))
-        .select(*group, F.col("_w.name").alias("_name"), F.col("_w.pos").alias("_pos"), "_rank", "_n", "_v")
-        .withColumn("_lo", F.floor("_pos"))
-        .withColumn("_hi", F.ceil("_pos"))
-        .groupBy(*group, "_name", "_pos", "_lo")
-        .agg(statistic("lo"), statistic("hi"))
-        .withColumn("_q", F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * (F.col("_pos") - F.col("_lo")))
+        ],
     )
-    return points.groupBy(*group).agg(
-        *[F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in probabilities]
-    ).drop("_all")

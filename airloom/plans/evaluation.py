@@ -74,9 +74,9 @@ def severe_metrics(spark, folder):
 _ERR = ["residual", "absolute_error", "squared_error", "percentage_error"]
 
 
-@query("error_table", with_ctes(f"SELECT candidate, location_key, reference_time, forecast_horizon_hours, {', '.join(f'{r(c)} AS {c}' for c in _ERR)} FROM errors WHERE candidate = 'hybrid'", "errors"))
+@query("error_table", with_ctes(f"SELECT candidate, location_key, reference_time, forecast_horizon_hours, {', '.join(f'{r(c)} AS {c}' for c in _ERR)} FROM errors", "errors"))
 def error_table(spark, folder):
-    return errors(spark, folder).filter("candidate = 'hybrid'").select(*BY, *KEY, "reference_time", "forecast_horizon_hours", *_ERR)
+    return errors(spark, folder).select(*BY, *KEY, "reference_time", "forecast_horizon_hours", *_ERR)
 
 
 _RATES = ", ".join(f"{r(f'AVG(CAST(prediction_bias_direction = {chr(39)}{d}{chr(39)} AS INT))')} AS {d}_rate" for d in ("underprediction", "overprediction"))
@@ -106,9 +106,9 @@ def bias_summary(spark, folder):
     return ev.bias_summary(errors(spark, folder), Y, P, BY)
 
 
-@query("error_by_hour", with_ctes(f"SELECT extract('hour' FROM target_time) AS target_hour, COUNT(*) AS row_count, {r('AVG(absolute_error)')} AS mae, {r('AVG(residual)')} AS mean_residual FROM errors WHERE candidate = 'hybrid' GROUP BY 1", "errors"))
+@query("error_by_hour", with_ctes(f"SELECT candidate, extract('hour' FROM target_time) AS target_hour, COUNT(*) AS row_count, {r('AVG(absolute_error)')} AS mae, {r('AVG(residual)')} AS mean_residual FROM errors GROUP BY 1, 2", "errors"))
 def error_by_hour(spark, folder):
-    return ev.error_by(errors(spark, folder).filter("candidate = 'hybrid'"), F.hour("target_time"), "target_hour")
+    return ev.error_by(errors(spark, folder), F.hour("target_time"), "target_hour", BY)
 
 
 @query(
