@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from airloom.functions.hours import hour_index
 from airloom.functions.numbers import is_finite
 
+MASK_BITS = 62
+
 
 def query_forecast(
     df: DataFrame,
@@ -40,20 +42,20 @@ def forecast_checks(df: DataFrame, keys: Sequence[str], horizons: int = 72) -> D
     """Contract of each published run as boolean columns.
 
     Rows are first merged per target hour. Which of the horizons 1..n occurred is
-    kept as bit masks, so no distinct set is ever collected.
+    kept as bit masks, 62 horizons a word, so no distinct set is ever collected.
     """
+    words = {f"_m{first}": first for first in range(1, horizons + 1, MASK_BITS)}
     h = F.col("forecast_horizon_hours").cast("int")
     p = F.col("predicted_pm25_ug_m3")
 
     def mask(first: int) -> Column:
-        return F.bit_or(F.when(h.between(first, first + 35), F.expr(f"shiftleft(1L, forecast_horizon_hours - {first})")))
+        return F.bit_or(F.when(h.between(first, first + MASK_BITS - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), h - first)))
 
     per_target = df.groupBy(*keys, "target_time").agg(
         F.count("*").alias("_n"),
         F.min(h).alias("_h_min"),
         F.max(h).alias("_h_max"),
-        mask(1).alias("_m0"),
-        mask(37).alias("_m1"),
+        *[mask(first).alias(name) for name, first in words.items()],
         F.min("reference_time").alias("_r0"),
         F.max("reference_time").alias("_r1"),
         F.min("pipeline_run_id").alias("_i0"),
@@ -67,7 +69,7 @@ def forecast_checks(df: DataFrame, keys: Sequence[str], horizons: int = 72) -> D
         F.count("target_time").alias("unique_target_times"),
         F.min("_h_min").alias("_h_min"),
         F.max("_h_max").alias("_h_max"),
-        (F.coalesce(F.bit_count(F.bit_or("_m0")), F.lit(0)) + F.coalesce(F.bit_count(F.bit_or("_m1")), F.lit(0))).alias("_h"),
+        sum((F.coalesce(F.bit_count(F.bit_or(name)), F.lit(0)) for name in words), F.lit(0)).alias("_h"),
         F.coalesce(F.min("_r0") == F.max("_r1"), F.lit(False)).alias("_one_ref"),
         F.coalesce(F.min("_i0") == F.max("_i1"), F.lit(False)).alias("_one_run"),
         F.sum("_off").alias("_off"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airloom.functions import aqi as fx
-from airloom.functions.hours import hour_index
+from airloom.functions.hours import hour_index, plus_hours
 from airloom.operators import alerts as al
 from airloom.operators import aqi as ops
 from airloom.operators import serving as sv
@@ -267,6 +267,36 @@ def display_time(spark, folder):
     return sv.display_time(events(spark, folder).select("event_id", "ts"), "ts", "Asia/Tashkent")
 
 
+# Every seventh run stays sound; the others lose a horizon, reach too far, lack or turn round a prediction, repeat a row or name another reference.
+_FAULT = "CAST(epoch(reference_time) / 3600 AS BIGINT) % 7"
+cte(
+    "faulty",
+    f"""SELECT * REPLACE (
+  CASE WHEN w = 6 AND forecast_horizon_hours = 7 THEN reference_time + INTERVAL 1 HOUR ELSE reference_time END AS reference_time,
+  CASE WHEN w = 2 AND forecast_horizon_hours = 72 THEN target_time + INTERVAL 1 HOUR ELSE target_time END AS target_time,
+  CASE WHEN w = 2 AND forecast_horizon_hours = 72 THEN 73 ELSE forecast_horizon_hours END AS forecast_horizon_hours,
+  CASE WHEN w = 3 AND forecast_horizon_hours = 10 THEN NULL WHEN w = 4 AND forecast_horizon_hours = 3 THEN -1.0 ELSE predicted_pm25_ug_m3 END AS predicted_pm25_ug_m3)
+FROM (SELECT *, {_FAULT} AS w FROM forecast UNION ALL SELECT *, {_FAULT} AS w FROM forecast WHERE {_FAULT} = 5 AND forecast_horizon_hours = 1)
+WHERE NOT (w = 1 AND forecast_horizon_hours = 5)""",
+    "forecast",
+)
+
+
+def _faulty(spark, folder):
+    rows = forecast(spark, folder).withColumn("w", hour_index("reference_time") % 7)
+    h, w = F.col("forecast_horizon_hours"), F.col("w")
+    rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.when((w == 5) & (h == 1), 2).otherwise(1))))
+    far = (w == 2) & (h == 72)
+    return rows.filter(~((w == 1) & (h == 5))).withColumns(
+        {
+            "reference_time": F.when((w == 6) & (h == 7), plus_hours("reference_time", 1)).otherwise(F.col("reference_time")),
+            "target_time": F.when(far, plus_hours("target_time", 1)).otherwise(F.col("target_time")),
+            "predicted_pm25_ug_m3": F.when((w == 3) & (h == 10), None).when((w == 4) & (h == 3), -1.0).otherwise(F.col("predicted_pm25_ug_m3")),
+            "forecast_horizon_hours": F.when(far, 73).otherwise(h),
+        }
+    )
+
+
 @query(
     "forecast_contract_checks",
     with_ctes(
@@ -277,12 +307,13 @@ FROM (SELECT location_key, pipeline_run_id, COUNT(*) AS n, COUNT(DISTINCT target
     COUNT(DISTINCT reference_time) AS refs, COUNT(DISTINCT pipeline_run_id) AS runs,
     COUNT(CASE WHEN date_diff('hour', reference_time, target_time) <> forecast_horizon_hours THEN 1 END) AS off,
     COUNT(CASE WHEN predicted_pm25_ug_m3 IS NULL OR NOT isfinite(predicted_pm25_ug_m3) THEN 1 END) AS bad, COUNT(CASE WHEN predicted_pm25_ug_m3 < 0 THEN 1 END) AS neg
-  FROM forecast GROUP BY 1, 2)""",
-        "forecast",
+  FROM faulty GROUP BY 1, 2)""",
+        "faulty",
     ),
 )
 def forecast_contract_checks(spark, folder):
-    return sv.forecast_checks(forecast(spark, folder).withColumn("_run", F.col("pipeline_run_id")), [*KEY, "_run"]).withColumnRenamed("_run", "pipeline_run_id")
+    """Sound and damaged runs, each judged by its contract."""
+    return sv.forecast_checks(_faulty(spark, folder).withColumn("_run", F.col("pipeline_run_id")), [*KEY, "_run"]).withColumnRenamed("_run", "pipeline_run_id")
 
 
 @query(

@@ -107,7 +107,7 @@ def stream_alert_sessions(spark, folder):
 
 @query("stream_incidents", with_ctes("SELECT * FROM lifecycle", "lifecycle"))
 def stream_incidents(spark, folder):
-    """Health runs arrive in three files, so the stored state carries incidents from batch to batch."""
+    """Health runs arrive in three deliveries, so the stored state carries incidents from batch to batch."""
     path = scratch_path(spark, "stream-incidents")
     runs = health_runs(spark, folder)
     limits = [None, "2024-01-11", "2024-01-21", None]
@@ -117,7 +117,7 @@ def stream_incidents(spark, folder):
             part = part.filter(F.col("observed_at") >= F.lit(first).cast("timestamp"))
         if last:
             part = part.filter(F.col("observed_at") < F.lit(last).cast("timestamp"))
-        part.repartition(1).write.mode("append").parquet(f"{path}/feed")
-    feed = st.file_stream(spark, f"{path}/feed", "*.parquet", runs.schema, per_trigger=1)
-    st.run_sink(feed, st.incident_sink(path, ["system"]), path)
+        part.write.mode("append").parquet(f"{path}/feed")
+        feed = st.file_stream(spark, f"{path}/feed", "*.parquet", runs.schema)
+        st.run_sink(feed, st.incident_sink(path, ["system"]), path)
     return spark.read.parquet(f"{path}/events").drop("batch_id")

@@ -52,27 +52,37 @@ def read_table(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     return spark.read.parquet(path).select(*contract.names, DATE)
 
 
+def read_days(spark: SparkSession, path: str, contract: Contract, days: Sequence) -> DataFrame:
+    """Rows of the named days only: literal days select the stored partitions, whatever lies between them."""
+    return read_table(spark, path, contract).filter(F.col(DATE).isin(list(days)))
+
+
+def _days(df: DataFrame, t: str) -> list:
+    """Distinct event days, at most one value per day of the calendar that a delivery names."""
+    return [r["day"] for r in df.select(F.to_date(t).alias("day")).distinct().collect()]
+
+
 def apply_upsert(spark: SparkSession, path: str, incoming: DataFrame, contract: Contract, order_by: Sequence[str]) -> None:
     """Upsert into a stored table, rewriting only the days that changed; the last delivery by `order_by` wins.
 
     Changed rows are written to the shared folder first: they are read twice (touched days, merge) and must not depend
-    on the files being replaced. Only days between the first and the last of a delivery are read: literal
-    bounds prune the stored partitions. What was staged is removed at the end.
+    on the files being replaced. Stored rows are read for the days of the delivery, then for the days that change, so
+    one old correction among new rows costs one more day. What was staged is removed at the end.
     """
     from airloom.session import remove_path, scratch_path
 
     key = contract.logical_key
     fresh = last_deliveries(incoming, contract, order_by)
-    ends = fresh.agg(F.min(F.to_date(contract.event_time)).alias("first"), F.max(F.to_date(contract.event_time)).alias("last")).first()
-    if ends["first"] is None:
+    delivered = _days(fresh, contract.event_time)
+    if not delivered:
         return
-    stored = read_table(spark, path, contract).filter(F.col(DATE).between(F.lit(ends["first"]), F.lit(ends["last"])))
+    stored = read_days(spark, path, contract, delivered)
     changes = classify_changes(fresh, stored.drop(DATE), contract).filter("change <> 'unchanged'").select(*contract.names)
     staged_path = scratch_path(spark, "upsert")
     changes.write.parquet(f"{staged_path}/changes")
     changed = spark.read.schema(contract.schema).parquet(f"{staged_path}/changes")
-    days = changed.select(F.to_date(contract.event_time).alias(DATE)).distinct()
-    kept = normalize_keys(stored.join(days, DATE, "left_semi").drop(DATE), contract).join(changed.select(*key), key, "left_anti")
+    touched = read_days(spark, path, contract, _days(changed, contract.event_time))
+    kept = normalize_keys(touched.drop(DATE), contract).join(changed.select(*key), key, "left_anti")
     merged = kept.select(*contract.names).unionByName(changed)
     merged.withColumn(DATE, F.to_date(contract.event_time)).write.parquet(f"{staged_path}/merged")
     ready = spark.read.parquet(f"{staged_path}/merged").select(*contract.names)

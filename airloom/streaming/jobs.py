@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from airloom.contracts import Contract
 from airloom.functions.numbers import MEAN_SCALE, exact_mean, fixed_point
 from airloom.operators.monitor import incident_lifecycle
+from airloom.session import remove_path
 from airloom.sources.tables import apply_upsert
 
 LATENESS = "30 hours"  # the overlap a late correction may reach back
@@ -81,29 +82,66 @@ def upsert_sink(path: str, contract: Contract, order_by: Sequence[str]) -> Calla
     return write
 
 
-def incident_sink(path: str, keys: Sequence[str], observed: str = "observed_at") -> Callable[[DataFrame, int], None]:
+COMPACT_EVERY = 16  # batches between two whole copies of the incident state
+_STATE = ("fingerprint", "incident_opened_at", "occurrence_count")
+
+
+def incident_state(spark: SparkSession, path: str, keys: Sequence[str], batch_id: int, compact_every: int = COMPACT_EVERY) -> DataFrame | None:
+    """Active incidents before a batch: the last whole copy and the changes written since; None before the first batch.
+
+    At most `compact_every` changes are read, and a system's last one wins; a change without fingerprint ends its incident.
+    """
+    base = batch_id // compact_every * compact_every - 1
+    parts = [(base, f"{path}/base/batch_id={base}")] if base >= 0 else []
+    parts += [(i, f"{path}/state/batch_id={i}") for i in range(base + 1, batch_id)]
+    state = None
+    for i, part in parts:
+        rows = spark.read.parquet(part).select(*keys, F.struct(F.lit(i).alias("batch"), *_STATE).alias("_s"))
+        state = rows if state is None else state.unionByName(rows)
+    if state is None:
+        return None
+    last = state.groupBy(*keys).agg(F.max_by("_s", "_s.batch").alias("_s"))
+    return last.filter("_s.fingerprint IS NOT NULL").select(*keys, *[F.col(f"_s.{c}").alias(c) for c in _STATE])
+
+
+def incident_sink(
+    path: str, keys: Sequence[str], observed: str = "observed_at", compact_every: int = COMPACT_EVERY
+) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: continue each system's incident from the stored state.
 
-    Events and state are written per batch id, so a replayed batch overwrites its own output only.
+    A batch writes its events and, for the systems it saw, their new state; every `compact_every` batches the active
+    incidents are written whole, resolved ones leave, and changes older than the copy before are removed. All is
+    written per batch id from earlier ids only, so a replayed batch overwrites its own output with the same rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = None
-        if batch_id > 0:
-            state = spark.read.parquet(f"{path}/state/batch_id={batch_id - 1}")
+        state = incident_state(spark, path, keys, batch_id, compact_every)
         events = incident_lifecycle(batch, keys, observed, state)
         events.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
-        done = spark.read.parquet(f"{path}/events/batch_id={batch_id}")
-        columns = ["fingerprint", "incident_opened_at", "occurrence_count"]
-        last = done.groupBy(*keys).agg(F.max_by(F.struct(*columns), observed).alias("_s")).select(*keys, "_s.*")
-        if state is not None:
-            last = last.unionByName(state.join(last.select(*keys), list(keys), "left_anti").select(*keys, *columns))
+        done = spark.read.schema(events.schema).parquet(f"{path}/events/batch_id={batch_id}")
+        last = done.groupBy(*keys).agg(F.max_by(F.struct(*_STATE), observed).alias("_s")).select(*keys, "_s.*")
         last.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            whole = _active(spark, path, keys, batch_id, compact_every)
+            whole.write.mode("overwrite").parquet(f"{path}/base/batch_id={batch_id}")
+            before = batch_id - compact_every
+            for i in range(before - compact_every + 1, before + 1):
+                remove_path(spark, f"{path}/state/batch_id={i}")
+            remove_path(spark, f"{path}/base/batch_id={before - compact_every}")
 
     return write
 
 
+def _active(spark: SparkSession, path: str, keys: Sequence[str], batch_id: int, compact_every: int) -> DataFrame:
+    """Active incidents after the last batch before a whole copy: the state before it, continued by its own changes."""
+    new = spark.read.parquet(f"{path}/state/batch_id={batch_id}")
+    old = incident_state(spark, path, keys, batch_id, compact_every)
+    if old is not None:
+        new = new.unionByName(old.join(new.select(*keys), list(keys), "left_anti").select(*keys, *_STATE))
+    return new.filter("fingerprint IS NOT NULL")
+
+
 def run_available(stream: DataFrame, path: str) -> DataFrame:
     """Process everything available into Parquet at a fresh path and read it back."""
     query = (
