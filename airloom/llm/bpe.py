@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from airloom.llm.common import encoded, sliced
 
-MEMO_WORDS = 300_000  # bounds a worker's memory, never the result
+MEMO_WORDS = 200_000  # words remembered, twice over; bounds a worker's memory, never the result
 # Fixed values of the tokenizer file's format: its white space and its pre-token pattern.
 SPACE = r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
@@ -50,7 +51,9 @@ class Bpe:
         self.split = regex.compile(pattern).findall
         self.blank = regex.compile(SPACE).sub
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.memo: dict[bytes, bytes] = {}
+        # Ids and decoded text of each chunk: the words met lately, and those met before them.
+        self.young: dict[bytes, tuple[bytes, bytes]] = {}
+        self.old: dict[bytes, tuple[bytes, bytes]] = {}
         self.merged: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: str) -> list[int]:
@@ -86,8 +89,8 @@ class Bpe:
         plain = self.blank(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
         return self.split(plain)
 
-    def _chunk(self, raw: bytes) -> bytes:
-        """Ids of a blank-free chunk as packed 32-bit integers."""
+    def _chunk(self, raw: bytes) -> tuple[bytes, bytes]:
+        """Ids of a blank-free chunk as packed 32-bit integers, and the text they decode to."""
         ids: list[int] = []
         for part in self.cut(raw.decode()):
             if part in self.special:
@@ -97,20 +100,32 @@ class Bpe:
                 if (known := self.merged.get(piece)) is None:
                     known = self.merged[piece] = tuple(self.merge(piece))
                 ids += known
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return array("i", ids).tobytes(), self.decode(ids).encode()
 
-    def encode(self, text: bytes) -> bytes:
-        """Packed ids of a whole text; blanks are boundaries, so chunks are remembered by themselves."""
+    def chunks(self, text: bytes) -> list[tuple[bytes, bytes]]:
+        """Ids and decoded text of a text's chunks; blanks are boundaries, so chunks are remembered by themselves.
+
+        When the younger memory is full it becomes the older one: what was met in neither half is forgotten, frequent
+        words stay.
+        """
         words = (text if b"<|" in text else text.lower()).split()
-        missing = set(words).difference(self.memo)
-        if missing:
-            if len(self.memo) + len(missing) > MEMO_WORDS:
-                self.memo.clear()
-                self.merged.clear()
-                missing = set(words)
-            for w in missing:
-                self.memo[w] = self._chunk(w)
-        return b"".join(map(self.memo.__getitem__, words))
+        young, old = self.young, self.old
+        for w in set(words).difference(young):
+            young[w] = old.get(w) or self._chunk(w)
+        found = list(map(young.__getitem__, words))
+        if len(young) > MEMO_WORDS:
+            self.old, self.young = young, {}
+            self.merged.clear()
+        return found
+
+    def encode(self, text: bytes) -> bytes:
+        """Packed ids of a whole text."""
+        return b"".join([ids for ids, _ in self.chunks(text)])
+
+    def round_trip(self, text: bytes) -> tuple[bytes, bytes]:
+        """Packed ids of a whole text and the text they decode to; chunks without ids leave no blank."""
+        found = self.chunks(text)
+        return b"".join([ids for ids, _ in found]), b" ".join([part for _, part in found if part])
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings joined by a blank, as the library does without a decoder; special tokens stay."""
@@ -172,9 +187,8 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in sliced(batches, 1, 1 << 20):
-            packed = [bpe.encode(t) for t in encoded(batch.column(1))]
-            lists = _id_lists(packed)
-            texts = pa.array([bpe.decode(x) for x in lists.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, texts], [key, "ids", "decoded"])
+            made = [bpe.round_trip(t) for t in encoded(batch.column(1))]
+            texts = pa.array([text for _, text in made], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists([ids for ids, _ in made]), texts], [key, "ids", "decoded"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids array<int>, decoded string")
