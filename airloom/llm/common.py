@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 4 << 20
+GROUP_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,11 +17,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def reread(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    A writer holds one row group, so groups are small: tables here carry whole texts.
+    """
     from airloom.session import scratch_path
 
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
