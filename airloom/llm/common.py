@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 4 << 20
 GROUP_BYTES = 32 << 20
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,12 +20,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def reread(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors.
 
-    A writer holds one row group, so groups are small: tables here carry whole texts.
+    A writer holds one row group and a Python worker's pipe one batch, in the JVM and in Python: both are kept small
+    while writing, because tables here carry whole texts.
     """
     from airloom.session import scratch_path
 
     path = scratch_path(spark, name)
-    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
