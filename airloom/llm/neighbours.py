@@ -61,6 +61,13 @@ def search_block(x: np.ndarray, codes: np.ndarray, q: np.ndarray, q_codes: np.nd
     return [np.unique(np.concatenate([order[t][low[i, t] : high[i, t]] for t in range(trees)])) for i in range(len(q))]
 
 
+def first_of_ids(ids: np.ndarray, distances: np.ndarray) -> np.ndarray:
+    """The smallest distance of every distinct id."""
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] - 1))
+    return np.minimum.reduceat(distances[order], starts)
+
+
 def _usable(vector: str) -> F.Column:
     v = F.col(vector)
     bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
@@ -87,10 +94,11 @@ def nearest(
     """Rows (query_id, rank, vec_id, score): the k nearest found of each query, smallest Euclidean distance first.
 
     Vectors that are null, empty, all zero, or hold a null, NaN or infinity take no part, nor do null ids.
-    Vectors of another length than the most frequent one take no part either. Ties go to the smaller id; rows
-    repeated with the same id count once; a query never meets its own id; a table with fewer than k other
-    vectors gives them all; an empty table gives no rows. Other columns are ignored, whatever their names.
-    Of equal vectors only the k + 1 smallest ids are indexed: no answer can name another one.
+    Vectors of another length than the most frequent one take no part either. Ties go to the smaller id; an id with
+    several vectors is one candidate, as near as the nearest of them, and asks with each of them; a query never
+    meets its own id; a table with fewer than k other ids gives them all; an empty table gives no rows. Other
+    columns are ignored, whatever their names. Of equal vectors only the k + 1 smallest ids are indexed: no answer can
+    name another one.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -106,7 +114,7 @@ def nearest(
     normals = planes(dim, trees)
     offsets = np.median(np.array([r["v"] for r in sample]) @ normals.T, axis=0)
     blocks = -(-total // BLOCK_ROWS)
-    queries = rows.filter("q").select("id", "v").dropDuplicates(["id"])
+    queries = rows.filter("q").select("id", "v").dropDuplicates(["id", "v"])
     parts = -(-max(queries.count(), 1) // QUERY_ROWS)
     # Replicas: an index block meets each part of the queries, a query each block.
     indexed = _smallest(rows.select("id", "v").dropDuplicates(["id", "v"]), k + 1)
@@ -121,23 +129,31 @@ def nearest(
             codes, q_codes = hash_strings(x, normals, offsets, trees), hash_strings(q, normals, offsets, trees)
             enough = max(int(share * len(ids)), (k + 1) * trees)
             squares = (x * x).sum(axis=1)
+            repeated = len(np.unique(ids)) < len(ids)
             for query, own, near in zip(asked["id"], q, search_block(x, codes, q, q_codes, enough)):
                 near = near[ids[near] != query]
+                if repeated and len(np.unique(ids[near])) < k:
+                    near = np.flatnonzero(ids != query)
                 if len(near) > k:
                     # A quick form of the distance keeps all that can be among the k nearest.
                     rough = squares[near] - 2 * (x[near] @ own)
-                    near = near[rough <= np.partition(rough, k - 1)[k - 1] + 1e-9 * (1 + squares.max() + own @ own)]
+                    best = first_of_ids(ids[near], rough) if repeated else rough
+                    if len(best) > k:
+                        near = near[rough <= np.partition(best, k - 1)[k - 1] + 1e-9 * (1 + squares.max() + own @ own)]
                 # Component by component, so that equal vectors have equal sums in every block.
                 total = np.zeros(len(near))
                 for j in range(dim):
                     total += (x[near, j] - own[j]) ** 2
-                best = np.lexsort((ids[near], total))[:k]
+                best = np.lexsort((ids[near], total))
+                if repeated:  # the nearest vector of each id
+                    best = best[np.sort(np.unique(ids[near[best]], return_index=True)[1])]
+                best = best[:k]
                 found += zip([query] * len(best), ids[near[best]].tolist(), np.sqrt(total[best]).tolist())
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     near = indexed.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def divisible(key: str, by: int) -> F.Column:

@@ -21,14 +21,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that with the smallest id; repeated rows of it once."""
+    """One document of each near-duplicate component: that with the smallest id.
+
+    Rows that share an id are one document; of them stays the row whose text has the smallest SHA-256 (then the one
+    whose whole row has the smallest hash), so that a retried task chooses the same.
+    """
     found = near_dup.near_duplicates(docs)
     dropped = reread(spark, found.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     maybe = bitmap_filter(spark, dropped.unionByName(repeated.withColumnRenamed("doc_id", "_dropped")), "_dropped")
     marked = docs.withColumn("_maybe", F.coalesce(maybe("doc_id"), F.lit(False)) & F.col("doc_id").isNotNull())
     # Only rows that may be dropped or repeated move; the others pass.
-    judged = marked.filter("_maybe").join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti").dropDuplicates(["doc_id"])
+    judged = marked.filter("_maybe").join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    hashed = [f"`{name}`" for name, kind in docs.dtypes if "map<" not in kind]
+    first = F.struct(F.sha2("text", 256).alias("text"), F.xxhash64(*hashed).alias("row"))
+    judged = judged.groupBy("doc_id").agg(F.min_by(F.struct("*"), first).alias("_row")).select("_row.*")
     return marked.filter("not _maybe").unionByName(judged).select(*docs.columns)
 
 

@@ -221,6 +221,22 @@ def test_neighbours(spark):
     assert [r["vec_id"] for r in sorted(few, key=lambda r: r["rank"])] and len(few) == 2
 
 
+def test_neighbours_of_ids_with_several_vectors(spark):
+    """An id with two vectors is one candidate and asks with both: nearest by any, nothing lost."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((12, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, (x[0] + 0.01).tolist()), (3, x[5].tolist()), (0, (x[7] + 0.5).tolist())]
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), neighbours.divisible("vec_id", 100)).orderBy("rank").collect()
+    own = [np.array(v) for i, v in rows if i == 0]
+    best = {}
+    for i, v in rows:
+        if i:
+            best[i] = min([best.get(i, np.inf), *[float(np.sqrt(((np.array(v) - o) ** 2).sum())) for o in own]])
+    want = sorted((d, i) for i, d in best.items())[:10]
+    assert [r["vec_id"] for r in out] == [i for _, i in want] and [r["rank"] for r in out] == list(range(1, 11))
+    assert all(abs(r["score"] - d) < 1e-12 for r, (d, _) in zip(out, want))
+
+
 def test_recall_on_the_given_vectors(spark):
     folder = "/root/testdata/sf0.1"
     table = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
