@@ -28,7 +28,7 @@ from airloom.llm import shingles as sh
 from airloom.llm.common import discard, reread
 from airloom.llm.graph import components
 
-
+Batches = Iterator[pa.RecordBatch]
 SKETCH_BITS = 1_024
 LARGE = 16  # members of one component in a list, from which its outside members meet it by slices
 SLICE_VALUES = 2_000_000
@@ -144,23 +144,19 @@ def _against_component(outside: DataFrame, labels: DataFrame, own: DataFrame, se
     return found, (inside, guests)
 
 
-def bitmap_filter(spark, ids: DataFrame, column: str):
-    """A test of fixed size (8 MB at most): true for all given ids and few others while they are few.
+def flagged(df: DataFrame, on: F.Column, ids: DataFrame, column: str, name: str) -> DataFrame:
+    """`df` with a boolean column `name`: true for every row whose `on` is among the ids, and for few others while the ids are few.
 
-    Only a saving: whatever passes is joined with the ids afterwards, so a full bitmap costs time, not rows.
+    A bitmap of 2**26 places, as a table of at most 2**20 words that is broadcast. Only a saving: whatever passes is
+    joined with the ids afterwards, so a full bitmap costs time, not rows.
     """
-    place = F.shiftrightunsigned(F.xxhash64(column), 38)
-    words = ids.select(place.alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow()
-    table = np.zeros(1 << 20, np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(table.view(np.uint64))
-
-    @F.arrow_udf("boolean")
-    def held(places: pa.Array) -> pa.Array:
-        p = places.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return lambda c: held(F.shiftrightunsigned(F.xxhash64(c), 38))
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 38)
+    words = ids.select(place(column).alias("p")).groupBy(F.expr("p div 64").alias("_bitmap_word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("_bitmap_bits"))
+    words = reread(df.sparkSession, words, "bitmap")
+    rows = df.withColumn("_bitmap_place", place(on)).join(F.broadcast(words), F.expr("_bitmap_place div 64 = _bitmap_word"), "left")
+    held = F.expr("coalesce(shiftrightunsigned(_bitmap_bits, cast(_bitmap_place % 64 as int)) & 1L = 1L, false)")
+    return rows.withColumn(name, held).drop("_bitmap_place", "_bitmap_word", "_bitmap_bits")
 
 
 def longs(rows: list[np.ndarray]) -> pa.ListArray:
@@ -169,5 +165,3 @@ def longs(rows: list[np.ndarray]) -> pa.ListArray:
     flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
 
-
-Batches = Iterator[pa.RecordBatch]

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import discard, encoded, reread, sliced
+from airloom.llm.common import discard, encoded, reread, sliced, tidy
 from airloom.llm.graph import components
-from airloom.llm.linking import Batches, bitmap_filter, links, longs, sketches
+from airloom.llm.linking import Batches, flagged, links, longs, sketches
 
 COORDINATES = 64
 # A pair with similarity 0.75 misses 30 of 64 collisions once in ten million times, and seldom above.
@@ -36,6 +36,7 @@ def _units(batch: pa.RecordBatch):
     return rows, sh.sets(values, ends), (sh.coordinates(values, ends, COORDINATES) if len(rows) else np.zeros((0, COORDINATES), np.uint64)), values, ends
 
 
+@tidy
 def _scan(batches: Batches) -> Batches:
     """(doc_id, n_shingles, id of the set, signature) per row; id and signature are null without words."""
     for batch in sliced(batches, 1, SLICE):
@@ -46,6 +47,7 @@ def _scan(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids, mask=place < 0), posted], ["doc_id", "n_shingles", "id", "signature"])
 
 
+@tidy
 def _sets(batches: Batches) -> Batches:
     for batch in sliced(batches, 1, SLICE):
         rows, sets, signatures, values, at = _units(batch)
@@ -83,8 +85,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     lists = reread(spark, prefix_lists(classes.select("id", "signature")), "lists")
     # Full sets only of those that are in a list: one text of each, found by its smallest key.
     wanted = reread(spark, classes.select("id", "rep").join(lists.select("id").distinct(), "id", "left_semi"), "wanted")
-    maybe = bitmap_filter(spark, wanted, "rep")
-    full = rows.filter("doc_id is not null").filter(maybe("doc_id")).mapInArrow(_sets, "id long, signature array<long>, sketch array<long>, set array<long>")
+    maybe = flagged(rows.filter("doc_id is not null"), F.col("doc_id"), wanted, "rep", "_maybe").filter("_maybe")
+    full = maybe.select("doc_id", text).mapInArrow(_sets, "id long, signature array<long>, sketch array<long>, set array<long>")
     full = reread(spark, full.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     found = links(lists, full, percent, MATCHES)
     discard(lists, wanted, full)

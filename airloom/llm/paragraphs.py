@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import discard, encoded, reread, sliced
+from airloom.llm.common import discard, encoded, reread, sliced, tidy
 from airloom.llm.graph import components
-from airloom.llm.linking import Batches, bitmap_filter, links, longs, sketches
+from airloom.llm.linking import Batches, flagged, links, longs, sketches
 from airloom.llm.passages import mark, passages
 
 MIN_WORDS = 50
@@ -88,6 +88,7 @@ def _paragraphs(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[int],
 
 
 def _scan(bands: int, rows_: int):
+    @tidy
     def run(batches: Batches) -> Batches:
         for batch in sliced(batches, 1, SLICE):
             rows, lines, lasts, starts, ends, values, at, n = _paragraphs(batch)
@@ -104,6 +105,7 @@ def _scan(bands: int, rows_: int):
     return run
 
 
+@tidy
 def _sets(batches: Batches) -> Batches:
     for batch in sliced(batches, 1, SLICE):
         rows, *_, values, at, _ = _paragraphs(batch)
@@ -125,8 +127,7 @@ def _repeated_paragraphs(rows: DataFrame, percent: int, recall: float) -> DataFr
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     lists = reread(spark, posted.join(shared, "key", "left_semi"), "bands")
     wanted = reread(spark, classes.select("id", F.col("first.doc_id").alias("rep")).join(lists.select("id").distinct(), "id", "left_semi"), "wanted")
-    maybe = bitmap_filter(spark, wanted, "rep")
-    full = rows.filter(maybe("doc_id")).mapInArrow(_sets, "id long, sketch array<long>, set array<long>")
+    full = flagged(rows, F.col("doc_id"), wanted, "rep", "_maybe").filter("_maybe").select("doc_id", "text").mapInArrow(_sets, "id long, sketch array<long>, set array<long>")
     full = reread(spark, full.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     labels = components(links(lists, full, percent))
     discard(lists, wanted, full)
@@ -204,9 +205,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     parts = reread(spark, parts.withColumnsRenamed({"doc_id": "_key", "mark": "_mark"}), "passages")
     gone = gone.withColumnsRenamed({"doc_id": "_key", "lines": "_lines"})
     columns = docs.columns
-    maybe = bitmap_filter(spark, gone.select("_key").unionByName(parts.select("_key")), "_key")
-    test = F.coalesce(maybe(F.col(key).cast("long")), F.lit(False)) & F.col(text).isNotNull()
-    marked = docs.withColumn("_test", test)
+    marked = flagged(docs, F.col(key).cast("long"), gone.select("_key").unionByName(parts.select("_key")), "_key", "_test")
+    marked = marked.withColumn("_test", F.col("_test") & F.col(text).isNotNull())
     joined = marked.filter("_test").withColumn("_id", F.col(key).cast("long")).withColumn("_own", mark(text))
     joined = joined.join(gone, F.col("_id") == F.col("_key"), "left").drop("_key")
     joined = joined.join(parts, (F.col("_id") == F.col("_key")) & (F.col("_own") == F.col("_mark")), "left")

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import discard, encoded, reread, sliced
-from airloom.llm.linking import Batches, bitmap_filter
+from airloom.llm.common import discard, encoded, reread, sliced, tidy
+from airloom.llm.linking import Batches, flagged
 
 WORDS = 50
 GRAM = 25
@@ -63,6 +63,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
+@tidy
 def _grams(batches: Batches) -> Batches:
     """Rows (doc_id, mark, gram, at, line) of the indexed runs of the texts in column 2."""
     for batch in sliced(batches, 2, SLICE):
@@ -80,6 +81,7 @@ def _grams(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(values[picked].view(np.int64)), pa.array(at), pa.array(line)], ["doc_id", "mark", "gram", "at", "line"])
 
 
+@tidy
 def _occurrences(batches: Batches) -> Batches:
     """Rows of the windows near the word numbers in column 3, without words on the lines in column 4; loops once."""
     for batch in sliced(batches, 2, SLICE):
@@ -123,15 +125,14 @@ def passages(rows: DataFrame, gone: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     rows = rows.filter("text is not null").select("doc_id", mark("text").alias("mark"), "text")
     grams = reread(spark, rows.mapInArrow(_grams, "doc_id long, mark long, gram long, at int, line int"), "grams")
-    cut = F.coalesce(bitmap_filter(spark, gone, "doc_id")("doc_id"), F.lit(False))
-    marked = grams.withColumn("cut", cut)
+    marked = flagged(grams, F.col("doc_id"), gone, "doc_id", "cut")
     left = marked.filter("cut").join(gone.select("doc_id", F.explode("lines").alias("line")), ["doc_id", "line"], "left_anti")
     left = left.select(*grams.columns).unionByName(marked.filter("not cut").select(*grams.columns))
     shared = left.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     near = left.join(shared, "gram", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("at").alias("near"))
     near = reread(spark, near.join(gone, "doc_id", "left").select("doc_id", "mark", "near", "lines"), "near")
-    maybe = bitmap_filter(spark, near, "mark")
-    texts = rows.filter(maybe("mark")).join(near, ["doc_id", "mark"]).select("doc_id", "mark", "text", "near", "lines")
+    maybe = flagged(rows, F.col("mark"), near, "mark", "_maybe").filter("_maybe").drop("_maybe")
+    texts = maybe.join(near, ["doc_id", "mark"]).select("doc_id", "mark", "text", "near", "lines")
     found = reread(spark, texts.mapInArrow(_occurrences, "doc_id long, mark long, window long, p int, last int, line int, start int, end int"), "windows")
     place = F.struct("doc_id", "mark", "p", "line", "start", F.col("end").alias("end"))
     firsts = found.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("final")).filter("first <> final").drop("final")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from airloom.llm import near_dup, ngram_model, packing, paragraphs, secret_scan
 from airloom.llm.common import read, reread
-from airloom.llm.linking import bitmap_filter
+from airloom.llm.linking import flagged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = near_dup.near_duplicates(docs)
     dropped = reread(spark, found.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    maybe = bitmap_filter(spark, dropped.unionByName(repeated.withColumnRenamed("doc_id", "_dropped")), "_dropped")
-    marked = docs.withColumn("_maybe", F.coalesce(maybe("doc_id"), F.lit(False)) & F.col("doc_id").isNotNull())
+    marked = flagged(docs, F.col("doc_id"), dropped.unionByName(repeated.withColumnRenamed("doc_id", "_dropped")), "_dropped", "_maybe")
+    marked = marked.withColumn("_maybe", F.col("_maybe") & F.col("doc_id").isNotNull())
     # Only rows that may be dropped or repeated move; the others pass.
     judged = marked.filter("_maybe").join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
     hashed = [f"`{name}`" for name, kind in docs.dtypes if "map<" not in kind]
