@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from airloom.contracts import VALUE
+from airloom.contracts import REFERENCE_FEATURES, VALUE
 from airloom.operators import monitor as mo
 from airloom.operators import tables as tb
 from airloom.plans.inputs import AS_OF, KEY, cte, events, hourly, r, references, with_ctes
@@ -133,19 +133,17 @@ def dataset_parity(spark, folder):
     return tb.dataset_parity(stored(spark, folder), local_rows(spark, folder), [*KEY, "datetime_utc"])
 
 
-_PARITY = ["pm25_current", "pm25_lag_24h", "pm25_mean_24h", "temperature_2m"]
+def _parity_sql(name: str) -> str:
+    c = f"CAST({name} AS DOUBLE)"
+    b = f"CASE WHEN location_key = 'error' THEN {c} + 0.25 ELSE {c} END" if name == "pm25_current" else c
+    return f"SELECT COUNT(*) AS compared_rows, '{name}' AS feature, COALESCE(bool_and(COALESCE(abs({c} - ({b})) <= 1e-8 + 1e-7 * abs({c}), TRUE)), TRUE) AS matches, {r(f'COALESCE(MAX(abs({c} - ({b}))), 0.0)')} AS max_abs_difference, {r(f'COALESCE(AVG(abs({c} - ({b}))), 0.0)')} AS mean_abs_difference FROM refs"
 
 
-def _parity_sql(c: str) -> str:
-    b = f"CASE WHEN location_key = 'error' THEN {c} + 0.25 ELSE {c} END" if c == "pm25_current" else c
-    return f"SELECT COUNT(*) AS compared_rows, '{c}' AS feature, COALESCE(bool_and(COALESCE(abs({c} - ({b})) <= 1e-8 + 1e-7 * abs({c}), TRUE)), TRUE) AS matches, {r(f'COALESCE(MAX(abs({c} - ({b}))), 0.0)')} AS max_abs_difference, {r(f'COALESCE(AVG(abs({c} - ({b}))), 0.0)')} AS mean_abs_difference FROM refs"
-
-
-@query("feature_parity", with_ctes(" UNION ALL ".join(_parity_sql(c) for c in _PARITY), "refs"))
+@query("feature_parity", with_ctes(" UNION ALL ".join(_parity_sql(c) for c in REFERENCE_FEATURES), "refs"))
 def feature_parity(spark, folder):
-    refs = references(spark, folder).select(*KEY, "reference_time", *_PARITY)
+    refs = references(spark, folder).select(*KEY, "reference_time", *REFERENCE_FEATURES)
     shifted = refs.withColumn("pm25_current", F.when(F.col("location_key") == "error", F.col("pm25_current") + 0.25).otherwise(F.col("pm25_current")))
-    return tb.feature_parity(refs, shifted, [*KEY, "reference_time"], _PARITY)
+    return tb.feature_parity(refs, shifted, [*KEY, "reference_time"], REFERENCE_FEATURES)
 
 
 @query("dataset_digest", with_ctes(
