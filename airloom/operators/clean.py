@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -240,28 +241,33 @@ SECRET_MARKERS = (
 REDACTED = "[REDACTED]"
 # Tokens of JSON text: strings, structure, literals; a lone quote of broken text is a token of its own.
 _TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]++|"'
-_STATE = "struct<out:string,depth:int,hidden:int,name:string,await:boolean>"
+_PIECE = 1024  # bytes of output gathered before they become a piece of the result
 
 
 def redact_fields(df: DataFrame, json_column: str, markers: Sequence[str] = SECRET_MARKERS) -> DataFrame:
     """Replace values of fields whose name holds a secret marker, at any depth of objects and arrays.
 
     The text is read token by token: after a secret name, the next value is replaced as a whole, whatever it holds.
+    Output is gathered in short pieces that are joined once at the end, so long texts are not copied per token.
     Fields keep their order, repeated names are all treated, blanks between tokens go. Text that does not begin
     like an object or array stays as it is, and so does null; broken JSON is redacted as far as it has names.
     """
 
+    any_marker = "|".join(re.escape(m) for m in markers) or "(?!)"
+
     def secret(name: Column) -> Column:
         # Escapes in a name are read as JSON reads them.
         plain = F.coalesce(F.get_json_object(F.concat(F.lit("["), name, F.lit("]")), "$[0]"), name)
         clean = F.replace(F.lower(F.trim(plain)), F.lit("-"), F.lit("_"))
-        test = F.lit(False)
-        for marker in markers:
-            test = test | clean.contains(marker)
-        return test
+        return F.regexp(clean, F.lit(any_marker))  # one test for all markers: the name is read once
+
+    def state(pieces: Column, tail: Column, depth: Column, hidden: Column, name: Column, await_: Column) -> Column:
+        fields = {"pieces": pieces, "tail": tail, "depth": depth, "hidden": hidden, "name": name, "await": await_}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
 
-    def state(out: Column, depth: Column, hidden: Column, name: Column, await_: Column) -> Column:
-        return F.struct(out.alias("out"), depth.cast("int").alias("depth"), hidden.cast("int").alias("hidden"), name.alias("name"), await_.alias("await")).cast(_STATE)
+    def written(s: Column, x: Column) -> tuple[Column, Column]:
+        full = F.octet_length(s["tail"]) >= _PIECE
+        return F.when(full, F.array_append(s["pieces"], s["tail"])).otherwise(s["pieces"]), F.when(full, x).otherwise(F.concat(s["tail"], x))
 
     none, no = F.lit(-1), F.lit(False)
     mark = F.lit(f'"{REDACTED}"')
@@ -269,12 +275,13 @@ def redact_fields(df: DataFrame, json_column: str, markers: Sequence[str] = SECR
     def step(s: Column, x: Column) -> Column:
         opens, closes = x.isin("{", "["), x.isin("}", "]")
         depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        inside = state(s["out"], depth, F.when(closes & (depth <= s["hidden"]), none).otherwise(s["hidden"]), s["name"], no)
-        replaced = state(F.concat(s["out"], mark), depth, F.when(opens, s["depth"]).otherwise(none), s["name"], no)
-        shown = state(F.concat(s["out"], x), depth, none, F.when(x.startswith('"'), x).otherwise(s["name"]), (x == ":") & secret(s["name"]))
+        inside = state(s["pieces"], s["tail"], depth, F.when(closes & (depth <= s["hidden"]), none).otherwise(s["hidden"]), s["name"], no)
+        replaced = state(*written(s, mark), depth, F.when(opens, s["depth"]).otherwise(none), s["name"], no)
+        shown = state(*written(s, x), depth, none, F.when(x.startswith('"'), x).otherwise(s["name"]), (x == ":") & secret(s["name"]))
         value = s["await"] & ~closes & ~x.isin(",", ":")
         return F.when(s["hidden"] >= 0, inside).when(value, replaced).otherwise(shown)
 
-    start = state(F.lit(""), F.lit(0), none, F.lit(""), no)
-    folded = F.aggregate(F.regexp_extract_all(json_column, F.lit(_TOKENS), F.lit(0)), start, step, lambda s: s["out"])
+    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(0), none, F.lit(""), no)
+    tokens = F.regexp_extract_all(json_column, F.lit(_TOKENS), F.lit(0))
+    folded = F.aggregate(tokens, start, step, lambda s: F.concat(F.array_join(s["pieces"], ""), s["tail"]))
     return df.withColumn(json_column, F.when(F.regexp(json_column, F.lit(r"^\s*[{\[]")), folded).otherwise(F.col(json_column)))

@@ -14,7 +14,7 @@ from airloom.operators.series import numbered
 from airloom.session import shared_folder
 
 
-def _assembler(columns: Sequence[str]) -> VectorAssembler:
+def assembler(columns: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error")
 
 
@@ -31,7 +31,7 @@ def fit_ridge(train: DataFrame, columns: Sequence[str], y: str, alpha: float = 1
     line = LinearRegression(
         featuresCol="scaled", labelCol=y, elasticNetParam=0.0, regParam=penalty, standardization=False, solver="normal"
     )
-    return Pipeline(stages=[_assembler(columns), scaler, line]).fit(train)
+    return Pipeline(stages=[assembler(columns), scaler, line]).fit(train)
 
 
 def fit_boosted_trees(
@@ -44,12 +44,12 @@ def fit_boosted_trees(
         labelCol=y, maxIter=rounds, maxDepth=depth, lossType=loss, validationIndicatorCol="_validation", seed=seed,
         checkpointInterval=10,  # the shared folder keeps the lineage short
     )
-    return Pipeline(stages=[_assembler(columns), trees]).fit(used)
+    return Pipeline(stages=[assembler(columns), trees]).fit(used)
 
 
 def fit_random_forest(train: DataFrame, columns: Sequence[str], y: str, trees: int = 50, depth: int = 8, seed: int = 42) -> Model:
     forest = RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[_assembler(columns), forest]).fit(train)
+    return Pipeline(stages=[assembler(columns), forest]).fit(train)
 
 
 def score(model: Model, rows: DataFrame) -> DataFrame:
@@ -64,15 +64,9 @@ def gain_importance(spark: SparkSession, model: Model, columns: Sequence[str]) -
     return rows.withColumn("gain_rank", F.rank().over(Window.orderBy(F.desc("gain"))))
 
 
-def permutation_importance(
-    df: DataFrame, model: Model, columns: Sequence[str], y: str, ids: Sequence[str], repeats: int = 5, seed: int = 42
-) -> DataFrame:
-    """RMSE increase when one column is shuffled: mean, deviation, positive part and share.
-
-    Shuffling is a join of two numberings of the rows, one in hash order and one
-    in seeded hash order per repeat. All shuffled copies are scored in one pass.
-    """
-    columns = list(columns)
+def paired_orders(df: DataFrame, columns: Sequence[str], y: str, ids: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """Every row once per repeat with a donor row `_d`: a join of two numberings of the rows, one in hash order and one
+    in seeded hash order per repeat."""
 
     def order(salt: int):
         return F.xxhash64(F.lit(salt), *ids)
@@ -88,14 +82,11 @@ def permutation_importance(
             "_n", F.lit(repeat).alias("repeat"), F.struct(*columns).alias("_d")
         )
         donors = donor if donors is None else donors.unionByName(donor)
-    paired = base.join(donors, "_n")
-    variants = [F.struct(F.lit("").alias("feature"), *columns)]
-    for c in columns:
-        variants.append(F.struct(F.lit(c).alias("feature"), *[F.col("_d")[k].alias(k) if k == c else F.col(k) for k in columns]))
-    copies = paired.select("repeat", y, F.inline(F.array(*variants)))
-    errors = score(model, copies).groupBy("feature", "repeat").agg(
-        F.sqrt(F.avg((F.col("prediction") - F.col(y)) * (F.col("prediction") - F.col(y)))).alias("_rmse")
-    )
+    return base.join(donors, "_n")
+
+
+def importance_summary(errors: DataFrame) -> DataFrame:
+    """Mean, deviation, positive part and share from the errors per feature and repeat; feature '' is the plain error."""
     plain = errors.filter("feature = ''").select("repeat", F.col("_rmse").alias("_base"))
     summary = (
         errors.filter("feature <> ''").join(plain, "repeat")
@@ -109,6 +100,25 @@ def permutation_importance(
     )
 
 
+def permutation_importance(
+    df: DataFrame, model: Model, columns: Sequence[str], y: str, ids: Sequence[str], repeats: int = 5, seed: int = 42
+) -> DataFrame:
+    """RMSE increase of any model when one column is shuffled: mean, deviation, positive part and share.
+
+    All shuffled copies are scored in one pass; for trees `permutation_importance_by_paths` needs no copies.
+    """
+    columns = list(columns)
+    paired = paired_orders(df, columns, y, ids, repeats, seed)
+    variants = [F.struct(F.lit("").alias("feature"), *columns)]
+    for c in columns:
+        variants.append(F.struct(F.lit(c).alias("feature"), *[F.col("_d")[k].alias(k) if k == c else F.col(k) for k in columns]))
+    copies = paired.select("repeat", y, F.inline(F.array(*variants)))
+    errors = score(model, copies).groupBy("feature", "repeat").agg(
+        F.sqrt(F.avg((F.col("prediction") - F.col(y)) * (F.col("prediction") - F.col(y)))).alias("_rmse")
+    )
+    return importance_summary(errors)
+
+
 def importance_ranks(gain: DataFrame, permuted: DataFrame) -> DataFrame:
     """Minimum-method ranks of both measures and their average; one row per model column."""
     ranked = permuted.withColumn("permutation_rank", F.rank().over(Window.orderBy(F.desc("importance_mean"))))

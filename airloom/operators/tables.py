@@ -150,6 +150,7 @@ def backfill_report(
 def dataset_parity(a: DataFrame, b: DataFrame, keys: Sequence[str], tolerance: float = 1e-8) -> DataFrame:
     """One row per shared column: mismatching rows and largest difference, plus table-level facts.
 
+    Tables bucketed by the key (`write_bucketed`) meet without a shuffle.
     A single full outer join on the key feeds one wide aggregate that is then unpivoted. Repeated keys of either side
     count as duplicates; the largest difference is over finite ones.
     """
@@ -246,17 +247,17 @@ def row_digest(contract: Contract) -> Column:
     return F.sha2(F.concat(*texts), 256)
 
 
+def _digest_words() -> list[Column]:
+    return [F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)").alias(f"_w{i}") for i in range(4)]
+
+
 def dataset_digest(df: DataFrame, contract: Contract, by: Sequence[str] = ()) -> DataFrame:
     """Order-independent content digest, overall or per group.
 
     Row hashes are added as four 60-bit words, so the digest is a plain sum:
     partial aggregation does the work and no group is ever gathered or sorted.
     """
-    hashed = df.withColumn("_h", row_digest(contract))
-    words = [
-        F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)").alias(f"_w{i}") for i in range(4)
-    ]
-    sums = hashed.select(*by, *words).groupBy(*by).agg(
+    sums = df.withColumn("_h", row_digest(contract)).select(*by, *_digest_words()).groupBy(*by).agg(
         F.count("*").alias("row_count"), *[F.sum(f"_w{i}").alias(f"_w{i}") for i in range(4)]
     )
     text = F.concat_ws("|", F.col("row_count").cast("string"), *[
@@ -266,41 +267,40 @@ def dataset_digest(df: DataFrame, contract: Contract, by: Sequence[str] = ()) ->
 
 
 def migration_checks(source: DataFrame, target: DataFrame, contract: Contract) -> DataFrame:
-    """Seven checks of a copied table, one row each, in two aggregates and one key join."""
-    key = contract.logical_key
-    columns_match = source.columns == target.columns
-
-    def facts(df: DataFrame, p: str) -> DataFrame:
-        return (
-            df.groupBy(*key).agg(F.count("*").alias("_n"))
-            .agg(
-                F.coalesce(F.sum("_n"), F.lit(0)).alias(f"{p}_rows"),
-                F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias(f"{p}_dup"),
-                F.min(contract.event_time).alias(f"{p}_min"),
-                F.max(contract.event_time).alias(f"{p}_max"),
-            )
+    """Seven checks of a copied table, one row each: a side is read once and reduced to one row a key, then both meet.
+
+    Count, time range and digest words of a key travel together, so one key join and one aggregate give all seven.
+    Tables bucketed by the logical key (`write_bucketed`) meet without a shuffle. The content digests are equal if the
+    row counts and the four digest sums are.
+    """
+    key, t = contract.logical_key, contract.event_time
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        hashed = df.withColumn("_h", row_digest(contract)).select(*key, F.col(t).alias("_t"), *_digest_words())
+        return hashed.groupBy(*key).agg(
+            F.count("*").alias(f"{p}n"), F.min("_t").alias(f"{p}min"), F.max("_t").alias(f"{p}max"),
+            *[F.sum(f"_w{i}").alias(f"{p}w{i}") for i in range(4)],
         )
 
-    sides = source.groupBy(*key).agg(F.count("*").alias("_s")).join(
-        target.groupBy(*key).agg(F.count("*").alias("_t")), key, "full"
-    )
-    keys_differ = sides.agg(F.count_if(~F.col("_s").eqNullSafe(F.col("_t"))).alias("_d"))
-    one = F.lit(1).alias("_one")
-    joined = (
-        facts(source, "s").select("*", one)
-        .join(facts(target, "t").select("*", one), "_one")
-        .join(keys_differ.select("_d", one), "_one")
-        .join(dataset_digest(source, contract).select(F.col("content_sha256").alias("_ds"), one), "_one")
-        .join(dataset_digest(target, contract).select(F.col("content_sha256").alias("_dt"), one), "_one")
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    joined = side(source, "s").join(side(target, "t"), key, "full").agg(
+        *[total(F.col(f"{p}n")).alias(f"{p}_rows") for p in "st"],
+        *[total(F.col(f"{p}n") - 1).alias(f"{p}_dup") for p in "st"],
+        *[F.min(f"{p}min").alias(f"{p}_min") for p in "st"],
+        *[F.max(f"{p}max").alias(f"{p}_max") for p in "st"],
+        F.count_if(~F.col("sn").eqNullSafe(F.col("tn"))).alias("_d"),
+        *[F.array(*[total(F.col(f"{p}w{i}")) for i in range(4)]).alias(f"{p}_words") for p in "st"],
     )
     checks = {
         "row_count_matches": F.col("s_rows") == F.col("t_rows"),
-        "columns_match": F.lit(columns_match),
+        "columns_match": F.lit(source.columns == target.columns),
         "logical_keys_match": F.col("_d") == 0,
         "event_time_range_matches": F.col("s_min").eqNullSafe(F.col("t_min")) & F.col("s_max").eqNullSafe(F.col("t_max")),
         "source_has_no_duplicate_keys": F.col("s_dup") == 0,
         "target_has_no_duplicate_keys": F.col("t_dup") == 0,
-        "content_digest_matches": F.col("_ds") == F.col("_dt"),
+        "content_digest_matches": (F.col("s_rows") == F.col("t_rows")) & (F.col("s_words") == F.col("t_words")),
     }
     listed = F.array(*[F.struct(F.lit(n).alias("check_name"), c.alias("passed")) for n, c in checks.items()])
     return joined.select(F.inline(listed))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from airloom.contracts import MODEL_FEATURES, TARGET
 from airloom.operators import evaluate as ev
 from airloom.operators import models as md
+from airloom.operators import trees as tr
 from airloom.plans.inputs import KEY, cte, forecast, r, scored, with_ctes
 from airloom.plans.registry import query
 from airloom.plans.training import purged_rows
@@ -255,11 +256,20 @@ def gain_importance(spark, folder):
     return md.gain_importance(spark, _boosted(spark, folder)[1], MODEL_FEATURES)
 
 
+@query("fit_absolute_trees")
+def fit_absolute_trees(spark, folder):
+    """Boosting for the absolute error, over all horizons."""
+    rows = training_table(spark, folder)
+    model = tr.fit_absolute_trees(rows, MODEL_FEATURES, TARGET, rounds=5, depth=4)
+    return ev.regression_metrics(tr.score_trees(model, rows), TARGET, "prediction", ["split"])
+
+
 def _permutation(spark, folder):
+    """Over all test rows, five repeats."""
     rows, model = _boosted(spark, folder)
     ids = [*KEY, "reference_time", "forecast_horizon_hours"]
-    sample = ev.stratified_sample(rows.filter("split = 'test'").withColumn("g", ev.horizon_group()), ["g"], 500, 42, ids)
-    return model, md.permutation_importance(sample, model, MODEL_FEATURES, TARGET, ids, repeats=2, seed=42)
+    trees = tr.ensemble(model, MODEL_FEATURES)
+    return model, tr.permutation_importance_by_paths(rows.filter("split = 'test'"), trees, TARGET, ids, repeats=5, seed=42)
 
 
 @query("permutation_importance")

@@ -99,7 +99,7 @@ def rejected_payloads(spark, folder):
 
 
 def sites(spark, folder):
-    """Nations as monitoring sites and their suppliers as sensors, through JSON."""
+    """Nations as monitoring sites and their suppliers as sensors, through JSON: payloads with a page of at most 50 sensors."""
     s = table(spark, folder, "supplier")
     n = table(spark, folder, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
     names = F.get(F.array(*[F.lit(x) for x in ("pm25", "PM10", "o3", "no2")]), (F.col("s_suppkey") % 4).cast("int"))
@@ -108,7 +108,8 @@ def sites(spark, folder):
         F.col("s_name").alias("name"),
         F.struct(names.alias("name"), F.lit("ug/m3").alias("units")).alias("parameter"),
     )
-    grouped = s.select("s_nationkey", sensor.alias("_s")).groupBy("s_nationkey").agg(F.collect_list("_s").alias("sensors"))
+    page = F.floor(F.col("s_suppkey") / 50).alias("_page")
+    grouped = s.select("s_nationkey", page, sensor.alias("_s")).groupBy("s_nationkey", "_page").agg(F.collect_list("_s").alias("sensors"))
     site = F.to_json(
         F.struct(
             F.col("s_nationkey").cast("bigint").alias("id"),

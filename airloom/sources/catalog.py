@@ -20,10 +20,14 @@ def parse_sites(df: DataFrame, json_column: str) -> DataFrame:
 
 
 def site_catalog(sites: DataFrame) -> DataFrame:
-    """One report row per location; pollutant names are distinct, sorted and joined. Array functions, no shuffle."""
+    """One report row per location; pollutant names are distinct, sorted and joined.
+
+    A location may come in several payloads, each with a page of its sensors; pages are summed, and what is gathered
+    per location is its set of pollutant names, never its sensors.
+    """
     names = F.transform("sensors", lambda s: F.lower(s["parameter"]["name"]))
     known = F.array_sort(F.array_distinct(F.filter(names, lambda n: F.coalesce(F.length(n) > 0, F.lit(False)))))
-    return sites.select(
+    described = sites.select(
         F.col("id").alias("location_id"),
         "name",
         F.col("provider.name").alias("provider"),
@@ -34,8 +38,12 @@ def site_catalog(sites: DataFrame) -> DataFrame:
         "timezone",
         F.col("datetimeFirst.utc").alias("datetime_first_utc"),
         F.col("datetimeLast.utc").alias("datetime_last_utc"),
-        F.coalesce(F.array_join(known, ", "), F.lit("")).alias("pollutants"),
-        F.greatest(F.coalesce(F.size("sensors"), F.lit(0)), F.lit(0)).alias("sensor_count"),
+        F.coalesce(known, F.array().cast("array<string>")).alias("_known"),
+        F.greatest(F.coalesce(F.size("sensors"), F.lit(0)), F.lit(0)).alias("_n"),
+    )
+    names = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_known")))), ", ")
+    return described.groupBy(*[c for c in described.columns if c not in ("_known", "_n")]).agg(
+        names.alias("pollutants"), F.sum("_n").alias("sensor_count")
     )
 
 

@@ -41,11 +41,11 @@ def scan_range(df: DataFrame, t: str, start: str, end: str) -> DataFrame:
     return out
 
 
-def write_table(df: DataFrame, path: str, contract: Contract) -> None:
-    """Write a feature table partitioned by event day; rows of a day stay in one task only while small."""
+def write_table(df: DataFrame, path: str, contract: Contract, by: Sequence[str] = ()) -> None:
+    """Write a feature table partitioned by event day (below the columns `by`); rows of a day stay in one task only while small."""
     dated = df.withColumn(DATE, F.to_date(contract.event_time))
     # Rebalance splits a large day over several files and merges small days.
-    dated.hint("rebalance", DATE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
+    dated.hint("rebalance", *by, DATE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, DATE).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
@@ -57,6 +57,38 @@ def read_days(spark: SparkSession, path: str, contract: Contract, days: Sequence
     return read_table(spark, path, contract).filter(F.col(DATE).isin(list(days)))
 
 
+PARTITIONS = 10_000  # newest partitions named as literals; more are found by a join
+
+
+def latest_stored(spark: SparkSession, path: str, contract: Contract, by: Sequence[str] = ()) -> DataFrame:
+    """Newest event time of a stored table, overall or for each value of its partition columns `by`.
+
+    The newest days come from folder names: that step asks for no stored column, so it opens footers and no data.
+    Then only the newest partition (of each group) is read. Beyond `PARTITIONS` groups all partitions since the oldest
+    of the newest days are read and joined. Null times have no day and do not count; an empty table gives null
+    overall and no group.
+    """
+    stored = spark.read.schema(contract.schema.add(DATE, "date")).parquet(path)
+    newest = stored.groupBy(*by).agg(F.max(DATE).alias(DATE)).filter(F.col(DATE).isNotNull())
+    name = F.to_json(F.struct(*by, DATE))
+    found = [r[0] for r in newest.select(name).limit(PARTITIONS + 1).collect()]
+    if len(found) <= PARTITIONS:
+        # Without groups the day alone; the test reads folder names only, so it selects partitions before any file is opened.
+        rows = stored.filter(name.isin(found))
+    else:
+        oldest = newest.agg(F.min(DATE)).first()[0]
+        rows = stored.filter(F.col(DATE) >= F.lit(oldest)).join(newest, [*by, DATE], "left_semi")
+    return rows.groupBy(*by).agg(F.max(contract.event_time).alias("latest_event_time"))
+
+
+def write_bucketed(df: DataFrame, name: str, contract: Contract, buckets: int, path: str | None = None) -> None:
+    """Catalogue table bucketed and sorted by the logical key, one file a bucket: parity and migration checks of two
+    such tables with equal bucket counts need no shuffle."""
+    key = contract.logical_key
+    writer = df.repartition(buckets, *key).write.mode("errorifexists").bucketBy(buckets, *key).sortBy(*key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def _days(df: DataFrame, t: str) -> list:
     """Distinct event days, at most one value per day of the calendar that a delivery names."""
     return [r["day"] for r in df.select(F.to_date(t).alias("day")).distinct().collect()]
