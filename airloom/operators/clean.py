@@ -241,14 +241,15 @@ SECRET_MARKERS = (
 REDACTED = "[REDACTED]"
 # Tokens of JSON text: strings, structure, literals; a lone quote of broken text is a token of its own.
 _TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]++|"'
-_PIECE = 1024  # bytes of output gathered before they become a piece of the result
+_CHUNK = 256  # tokens read in one fold
 
 
 def redact_fields(df: DataFrame, json_column: str, markers: Sequence[str] = SECRET_MARKERS) -> DataFrame:
     """Replace values of fields whose name holds a secret marker, at any depth of objects and arrays.
 
     The text is read token by token: after a secret name, the next value is replaced as a whole, whatever it holds.
-    Output is gathered in short pieces that are joined once at the end, so long texts are not copied per token.
+    A fold copies its state at every step, so the text never is part of it: a first pass over chunks of tokens finds the
+    state in which each chunk begins, a second one writes the chunks, which are joined once.
     Fields keep their order, repeated names are all treated, blanks between tokens go. Text that does not begin
     like an object or array stays as it is, and so does null; broken JSON is redacted as far as it has names.
     """
@@ -261,27 +262,46 @@ def redact_fields(df: DataFrame, json_column: str, markers: Sequence[str] = SECR
         clean = F.replace(F.lower(F.trim(plain)), F.lit("-"), F.lit("_"))
         return F.regexp(clean, F.lit(any_marker))  # one test for all markers: the name is read once
 
-    def state(pieces: Column, tail: Column, depth: Column, hidden: Column, name: Column, await_: Column) -> Column:
-        fields = {"pieces": pieces, "tail": tail, "depth": depth, "hidden": hidden, "name": name, "await": await_}
-        return F.struct(*[c.alias(k) for k, c in fields.items()])
-
-    def written(s: Column, x: Column) -> tuple[Column, Column]:
-        full = F.octet_length(s["tail"]) >= _PIECE
-        return F.when(full, F.array_append(s["pieces"], s["tail"])).otherwise(s["pieces"]), F.when(full, x).otherwise(F.concat(s["tail"], x))
+    def state(depth: Column, hidden: Column, name: Column, await_: Column) -> Column:
+        return F.struct(depth.alias("depth"), hidden.alias("hidden"), name.alias("name"), await_.alias("await"))
 
     none, no = F.lit(-1), F.lit(False)
-    mark = F.lit(f'"{REDACTED}"')
 
-    def step(s: Column, x: Column) -> Column:
+    def replaced(s: Column, x: Column) -> Column:
+        return s["await"] & ~x.isin("}", "]", ",", ":")
+
+    def moved(s: Column, x: Column) -> Column:
         opens, closes = x.isin("{", "["), x.isin("}", "]")
         depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        inside = state(s["pieces"], s["tail"], depth, F.when(closes & (depth <= s["hidden"]), none).otherwise(s["hidden"]), s["name"], no)
-        replaced = state(*written(s, mark), depth, F.when(opens, s["depth"]).otherwise(none), s["name"], no)
-        shown = state(*written(s, x), depth, none, F.when(x.startswith('"'), x).otherwise(s["name"]), (x == ":") & secret(s["name"]))
-        value = s["await"] & ~closes & ~x.isin(",", ":")
-        return F.when(s["hidden"] >= 0, inside).when(value, replaced).otherwise(shown)
-
-    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(0), none, F.lit(""), no)
-    tokens = F.regexp_extract_all(json_column, F.lit(_TOKENS), F.lit(0))
-    folded = F.aggregate(tokens, start, step, lambda s: F.concat(F.array_join(s["pieces"], ""), s["tail"]))
+        inside = state(depth, F.when(closes & (depth <= s["hidden"]), none).otherwise(s["hidden"]), s["name"], no)
+        value = state(depth, F.when(opens, s["depth"]).otherwise(none), s["name"], no)
+        shown = state(depth, none, F.when(x.startswith('"'), x).otherwise(s["name"]), (x == ":") & secret(s["name"]))
+        return F.when(s["hidden"] >= 0, inside).when(replaced(s, x), value).otherwise(shown)
+
+    def written(s: Column, x: Column) -> Column:
+        return F.when(s["hidden"] >= 0, F.lit("")).when(replaced(s, x), F.lit(f'"{REDACTED}"')).otherwise(x)
+
+    def redacted(tokens: Column) -> Column:
+        def chunk(i: Column) -> Column:
+            return F.slice(tokens, i * _CHUNK + 1, F.lit(_CHUNK))
+
+        first = state(F.lit(0), none, F.lit(""), no)
+        chunks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(tokens) / _CHUNK).cast("int") - 1, F.lit(0)))
+        begun = F.struct(F.array().cast("array<struct<depth:int,hidden:int,name:string,await:boolean>>").alias("starts"), first.alias("now"))
+
+        def pass_chunk(s: Column, i: Column) -> Column:
+            return F.struct(F.array_append(s["starts"], s["now"]).alias("starts"), F.aggregate(chunk(i), s["now"], moved).alias("now"))
+
+        def write_chunk(start: Column, i: Column) -> Column:
+            def step(s: Column, x: Column) -> Column:
+                return F.struct(F.concat(s["out"], written(s["now"], x)).alias("out"), moved(s["now"], x).alias("now"))
+
+            return F.aggregate(chunk(i), F.struct(F.lit("").alias("out"), start.alias("now")), step, lambda s: s["out"])
+
+        starts = F.aggregate(chunks, begun, pass_chunk, lambda s: s["starts"])
+        return F.array_join(F.transform(starts, write_chunk), "")
+
+    # A lambda's argument is found once; the tokens would otherwise be searched anew for every chunk.
+    tokens = F.array(F.regexp_extract_all(json_column, F.lit(_TOKENS), F.lit(0)))
+    folded = F.get(F.transform(tokens, redacted), 0)
     return df.withColumn(json_column, F.when(F.regexp(json_column, F.lit(r"^\s*[{\[]")), folded).otherwise(F.col(json_column)))
