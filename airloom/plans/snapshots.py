@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from airloom.plans.inputs import KEY, forecast, r, with_ctes
+from pyspark.sql import functions as F
+
+from airloom.plans.inputs import KEY, forecast, hourly, r, references, with_ctes
 from airloom.plans.registry import query
 from airloom.plans.training import purged_rows
 from airloom.session import scratch_path
@@ -26,3 +28,17 @@ def write_run_outputs(spark, folder):
     rows = forecast(spark, folder).select(*_RUN, "predicted_pm25_ug_m3")
     path = ar.write_run({"forecast": rows}, scratch_path(spark, "runs"), "run-1", csv=["forecast"])
     return spark.read.schema(rows.schema).option("header", True).csv(f"{path}/forecast.csv")
+
+
+@query("committed_runs", with_ctes(
+    " UNION ALL ".join(f"SELECT 'run-1' AS run_id, '{name}' AS name, '{kind}' AS format, COUNT(*) AS row_count FROM {table}" for name, kind, table in (
+        ("forecast", "parquet", "forecast"), ("forecast", "csv", "forecast"), ("features", "parquet", "refs"), ("inputs", "parquet", "hourly"),
+    )),
+    "forecast", "refs", "hourly",
+))
+def committed_runs(spark, folder):
+    """What a run left: forecast (also CSV), feature matrix and hourly inputs under one manifest."""
+    root = scratch_path(spark, "runs")
+    outputs = {"forecast": forecast(spark, folder), "features": references(spark, folder), "inputs": hourly(spark, folder)}
+    ar.commit_run(outputs, root, "run-1", {"source": folder}, csv=["forecast"])
+    return ar.committed_runs(spark, root).select("run_id", F.inline("tables")).select("run_id", "name", "format", "row_count")

@@ -61,6 +61,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def materialized(df, name: str):
     """Write to the shared folder and read back: what several parts of a job need is derived once, and lineage is cut."""
     path = scratch_path(df.sparkSession, name)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airloom.session import path_exists
+
 
 def write_snapshot(df: DataFrame, root: str, name: str, version: str) -> str:
     """Versioned Parquet snapshot partitioned by split; an existing version is never overwritten."""
@@ -31,6 +36,69 @@ def write_run(outputs: Mapping[str, DataFrame], root: str, run_id: str, csv: Seq
     return path
 
 
+_TABLES = "tables array<struct<name:string,path:string,format:string,row_count:bigint,columns:array<string>>>"
+_COMMIT = f"run_id string, attempt string, created_at timestamp, metadata string, {_TABLES}"
+_RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}")
+
+
+def commit_run(
+    outputs: Mapping[str, DataFrame], root: str, run_id: str, metadata: Mapping[str, object], csv: Sequence[str] = ()
+) -> str:
+    """All tables of one run, visible together or not at all.
+
+    Every attempt writes its tables (forecast, inputs, feature matrix, ...) below a folder of its own; the manifest with
+    paths, row counts, columns and the metadata as JSON is written last, and only its completed write makes the run
+    exist. A job lost between two tables leaves an attempt that no reader sees, and the run may be written again; a run
+    that exists is never overwritten. One job at a time writes a run. Counts come from the written files, so outputs
+    are derived once. Tables named in `csv` are kept as CSV too, from the same files. Returns the attempt's folder.
+    """
+    if not _RUN_ID.fullmatch(run_id):
+        raise ValueError(f"run id {run_id!r}: letters, digits, '.', '_' and '-', led by a letter or digit")
+    if not outputs or set(csv) - set(outputs):
+        raise ValueError("a run needs outputs, and CSV copies can only be of them")
+    spark = next(iter(outputs.values())).sparkSession
+    commit = f"{root.rstrip('/')}/commits/run_id={run_id}"
+    if path_exists(spark, f"{commit}/_SUCCESS"):
+        raise FileExistsError(f"run {run_id} exists")
+    attempt = uuid.uuid4().hex
+    path = f"{root.rstrip('/')}/attempts/run_id={run_id}/{attempt}"
+    tables = []
+    for name, df in outputs.items():
+        place = f"{path}/{name}.parquet"
+        df.write.mode("errorifexists").parquet(place)
+        stored = spark.read.schema(df.schema).parquet(place)
+        n = stored.count()
+        tables.append((name, place, "parquet", n, df.columns))
+        if name in csv:
+            stored.write.mode("errorifexists").option("header", True).csv(f"{path}/{name}.csv")
+            tables.append((name, f"{path}/{name}.csv", "csv", n, df.columns))
+    facts = json.dumps(dict(metadata), sort_keys=True, default=str)
+    row = spark.createDataFrame([(attempt, facts, tables)], f"attempt string, metadata string, {_TABLES}")
+    # Unfinished manifests of a lost job have no success mark and are replaced.
+    row.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(commit)
+    return path
+
+
+def committed_runs(spark: SparkSession, root: str) -> DataFrame:
+    """One row per committed run: id, attempt, time, metadata (JSON) and its tables; none where nothing was committed."""
+    commits = f"{root.rstrip('/')}/commits"
+    if not path_exists(spark, commits):
+        return spark.createDataFrame([], _COMMIT)
+    return spark.read.schema(_COMMIT).json(commits).select("run_id", "attempt", "created_at", "metadata", "tables")
+
+
+def read_run(spark: SparkSession, root: str, run_id: str, name: str, kind: str = "parquet") -> DataFrame:
+    """One table of a committed run; an unknown or uncommitted run is an error."""
+    commit = f"{root.rstrip('/')}/commits/run_id={run_id}"
+    found = None
+    if _RUN_ID.fullmatch(run_id) and path_exists(spark, f"{commit}/_SUCCESS"):
+        tables = spark.read.schema(_TABLES).json(commit).select(F.inline("tables"))
+        found = tables.filter((F.col("name") == name) & (F.col("format") == kind)).first()
+    if found is None:
+        raise FileNotFoundError(f"no committed {kind} table {name} of run {run_id}")
+    return spark.read.option("header", True).format(kind).load(found["path"])
+
+
 def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """One row per file: path relative to the root, size and SHA-256. Files are hashed where they are read."""
     files = (
