@@ -196,18 +196,24 @@ def impute_short_gaps(
     return own_rows(filled).drop("_known", "_ph", "_nh", "_pv", "_nv")
 
 
-def window_quality(df: DataFrame, keys: Sequence[str], t: str = "datetime_utc", v: str = "pm25_ug_m3", hours: int = 24) -> DataFrame:
+def window_quality(
+    df: DataFrame, keys: Sequence[str], t: str = "datetime_utc", v: str = "pm25_ug_m3", hours: int = 24, label: Column | None = None
+) -> DataFrame:
     """Quality of the window `[t - hours, t]` ending at every hour of an imputed grid.
 
-    The timestamp lists hold at most `hours + 1` entries.
+    The timestamp lists hold at most `hours + 1` entries. With `label`, a text of the hour of `t`, they hold the labels
+    in the order of the hours: a label is made once a row, not once for every window that sees it.
     """
     frame = hour_window(keys).rangeBetween(-hours, 0)
     imputed = F.col("is_imputed")
     unresolved = F.col(v).isNull()
-    out = halo(df, keys, t, back=hours).withColumns(
+    near = halo(df, keys, t, back=hours).withColumn("_entry", F.col(t) if label is None else label)
+    # Frames are in the order of their hours; only timestamps inside one hour are left to sort.
+    ordered = F.sort_array if label is None else (lambda entries: entries)
+    out = near.withColumns(
         {
-            "imputed_timestamps": F.array_sort(F.collect_list(F.when(imputed, F.col(t))).over(frame)),
-            "unresolved_timestamps": F.array_sort(F.collect_list(F.when(unresolved, F.col(t))).over(frame)),
+            "imputed_timestamps": ordered(F.collect_list(F.when(imputed, F.col("_entry"))).over(frame)),
+            "unresolved_timestamps": ordered(F.collect_list(F.when(unresolved, F.col("_entry"))).over(frame)),
         }
     )
     out = own_rows(out).withColumn("imputed_hours", F.size("imputed_timestamps"))

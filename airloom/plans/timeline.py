@@ -132,10 +132,10 @@ FROM (SELECT *, COUNT(CASE WHEN is_imputed THEN 1 END) OVER w AS n, COUNT(CASE W
     ),
 )
 def window_quality(spark, folder):
-    out = tl.window_quality(imputed(spark, folder, "user_id"), KEY)
+    out = tl.window_quality(imputed(spark, folder, "user_id"), KEY, label=F.date_format("datetime_utc", "yyyy-MM-dd HH"))
     # Lists as text, so that the result has only scalar columns.
     for c in ("imputed_timestamps", "unresolved_timestamps"):
-        out = out.withColumn(c, F.array_join(F.transform(c, lambda x: F.date_format(x, "yyyy-MM-dd HH")), ","))
+        out = out.withColumn(c, F.array_join(c, ","))
     return out
 
 
