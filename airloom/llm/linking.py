@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import discard, reread
+from airloom.llm.common import discard, release, reread
 from airloom.llm.graph import components
 
 Batches = Iterator[pa.RecordBatch]
@@ -84,6 +84,7 @@ def links(lists: DataFrame, sets: DataFrame, percent: int, matches: int = 0) ->
     stars = lists.join(leaders, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     first = reread(spark, verified(stars, sets, percent, matches), "links")
     labels = components(first)
+    release(spark)
     named = lists.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     named = reread(spark, named, "named")
     held = named.groupBy("key", "component").count().groupBy("key")
@@ -102,6 +103,7 @@ def links(lists: DataFrame, sets: DataFrame, percent: int, matches: int = 0) ->
     pairs = crossing.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
     second = reread(spark, verified(pairs, sets, percent, matches).unionByName(joined), "links")
     discard(own, named, rest, small, *used)
+    release(spark)
     return first.unionByName(second)
 
 

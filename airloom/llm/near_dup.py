@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import discard, encoded, reread, sliced, tidy
+from airloom.llm.common import discard, encoded, release, reread, sliced, tidy
 from airloom.llm.graph import components
 from airloom.llm.linking import Batches, flagged, links, longs, sketches
 
@@ -97,6 +97,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     several = owned.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
     ties = owned.join(several, "a")
     labels = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(ties))
+    release(spark)
     of_class = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     # A class that half the rows share meets its label in a join that adaptive execution can split.
     out = scanned.select("doc_id", "n_shingles", "id").join(of_class, "id", "left")

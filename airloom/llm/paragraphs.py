@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import discard, encoded, reread, sliced, tidy
+from airloom.llm.common import discard, encoded, release, reread, sliced, tidy
 from airloom.llm.graph import components
 from airloom.llm.linking import Batches, flagged, links, longs, sketches
 from airloom.llm.passages import mark, passages
@@ -131,6 +131,7 @@ def _repeated_paragraphs(rows: DataFrame, percent: int, recall: float) -> DataFr
     full = reread(spark, full.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     labels = components(links(lists, full, percent))
     discard(lists, wanted, full)
+    release(spark)
     named = classes.select("id", "first", "final").join(labels, "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     clusters = named.groupBy("cluster").agg(F.min("first").alias("keep"), F.max("final").alias("final")).filter("keep <> final")
     members = named.select("id", "cluster").join(clusters.select("cluster", "keep"), "cluster")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.llm import shingles as sh
-from airloom.llm.common import discard, encoded, reread, sliced, tidy
+from airloom.llm.common import discard, encoded, release, reread, sliced, tidy
 from airloom.llm.linking import Batches, flagged
 
 WORDS = 50
@@ -156,6 +156,7 @@ def passages(rows: DataFrame, gone: DataFrame) -> DataFrame:
     )
     pieces = reread(spark, pieces.withColumn("cluster", F.xxhash64("keep.doc_id", "keep.mark", "keep.p")), "pieces")
     discard(grams, near, found, later)
+    release(spark)
     named = [F.col("keep.doc_id").alias("keep_id"), F.col("keep.line").alias("keep_line")]
     removed = pieces.select("doc_id", "mark", "line", "start", "end", "n_words", "cluster", *named, F.lit(True).alias("removed"))
     kept = pieces.groupBy("cluster", "keep.doc_id", "keep.mark", "keep.line", "keep.start").agg(F.max("keep_end").alias("end"), F.max("keep_words").alias("n_words"))
