@@ -83,6 +83,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     usable = scanned.filter("id is not null and doc_id is not null")
     classes = reread(spark, usable.groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
     lists = reread(spark, prefix_lists(classes.select("id", "signature")), "lists")
+    release(spark)
     # Full sets only of those that are in a list: one text of each, found by its smallest key.
     wanted = reread(spark, classes.select("id", "rep").join(lists.select("id").distinct(), "id", "left_semi"), "wanted")
     maybe = flagged(rows.filter("doc_id is not null"), F.col("doc_id"), wanted, "rep", "_maybe").filter("_maybe")

@@ -126,6 +126,7 @@ def _repeated_paragraphs(rows: DataFrame, percent: int, recall: float) -> DataFr
     posted = classes.select("id", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     lists = reread(spark, posted.join(shared, "key", "left_semi"), "bands")
+    release(spark)
     wanted = reread(spark, classes.select("id", F.col("first.doc_id").alias("rep")).join(lists.select("id").distinct(), "id", "left_semi"), "wanted")
     full = flagged(rows, F.col("doc_id"), wanted, "rep", "_maybe").filter("_maybe").select("doc_id", "text").mapInArrow(_sets, "id long, sketch array<long>, set array<long>")
     full = reread(spark, full.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")

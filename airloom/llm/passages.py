@@ -131,6 +131,7 @@ def passages(rows: DataFrame, gone: DataFrame) -> DataFrame:
     shared = left.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     near = left.join(shared, "gram", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("at").alias("near"))
     near = reread(spark, near.join(gone, "doc_id", "left").select("doc_id", "mark", "near", "lines"), "near")
+    release(spark)
     maybe = flagged(rows, F.col("mark"), near, "mark", "_maybe").filter("_maybe").drop("_maybe")
     texts = maybe.join(near, ["doc_id", "mark"]).select("doc_id", "mark", "text", "near", "lines")
     found = reread(spark, texts.mapInArrow(_occurrences, "doc_id long, mark long, window long, p int, last int, line int, start int, end int"), "windows")
