@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import json
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airloom.session import path_exists
+from airloom.session import materialized, path_exists, scratch_path
 
 
 def write_snapshot(df: DataFrame, root: str, name: str, version: str) -> str:
@@ -99,16 +105,154 @@ def read_run(spark: SparkSession, root: str, run_id: str, name: str, kind: str =
     return spark.read.option("header", True).format(kind).load(found["path"])
 
 
-def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """One row per file: path relative to the root, size and SHA-256. Files are hashed where they are read."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    )
+BLOCK_BYTES = 128 << 20  # larger files are hashed in blocks of about this size
+_UNPACKED = r"(?i)\.(deflate|gz|gzip|bz2|lz4|lzo|snappy|xz|zst|zstd)$"  # what Spark's readers of lines unpack
+_STATES = "path string, length long, lead binary, n long, state binary"
+Batches = Iterator[pa.RecordBatch]
+
+
+@cache
+def _crypto() -> ctypes.CDLL | None:
+    """The library behind `hashlib`, whose SHA-256 can be left half done and taken up elsewhere; None where it does not offer that."""
+    try:
+        import _hashlib
+
+        library = ctypes.CDLL(_hashlib.__file__)
+        probe = _Sha256(None, library)
+        probe.feed(b"a")
+        probe = _Sha256(probe.state, library)
+        probe.feed(b"b" * 99)
+        return library if probe.hexdigest() == hashlib.sha256(b"a" + b"b" * 99).hexdigest() else None
+    except (ImportError, AttributeError, OSError):
+        return None
+
+
+class _Sha256:
+    """SHA-256 that goes on from a state and gives it back: OpenSSL's SHA256_CTX, 28 words without pointers."""
+
+    SIZE = 112
+
+    def __init__(self, state: bytes | None, library: ctypes.CDLL | None = None):
+        self._library, self._held = library or _crypto(), ctypes.create_string_buffer(self.SIZE)
+        if state is None:
+            self._library.SHA256_Init(self._held)
+        else:
+            self._held.raw = state
+
+    def feed(self, content: bytes) -> None:
+        self._library.SHA256_Update(self._held, content, ctypes.c_size_t(len(content)))
+
+    @property
+    def state(self) -> bytes:
+        return self._held.raw
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self._library.SHA256_Final(out, self._held)
+        return out.raw.hex()
+
+
+def _chunks(batches: Batches) -> Batches:
+    """Rows (path, start, part, content) from the lines (path, start, line) of blocks, in order, each line with its end: a row a block and batch."""
+    key, part = None, 0
+    for batch in batches:
+        paths, starts, lines = batch.columns
+        new = pc.or_(pc.not_equal(paths[1:], paths[:-1]), pc.not_equal(starts[1:], starts[:-1]))
+        bounds = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
+                continue
+            found = (paths[a].as_py(), starts[a].as_py())
+            key, part = found, (part + 1 if found == key else 0)
+            content = b"\n".join([*lines[a:b].to_pylist(), b""])
+            yield pa.RecordBatch.from_pydict({"path": [key[0]], "start": [key[1]], "part": pa.array([part], pa.int32()), "content": [content]})
+
+
+def _advance(batches: Batches) -> Batches:
+    """States (path, length, lead, n, state) after the chunks of a step: rows of a state and a chunk, in order by file."""
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("lead", pa.binary()), ("n", pa.int64()), ("state", pa.binary())])
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*file, n, digest.state), schema)], schema=schema)
+
+    file, n, digest = None, 0, None
+    for batch in batches:
+        for path, length, lead, before, state, content in zip(*(c.to_pylist() for c in batch.columns)):
+            if file is None or path != file[0]:
+                if file is not None:
+                    yield row()
+                file, n, digest = (path, length, lead), before, _Sha256(state)
+                if state is None and lead:
+                    digest.feed(lead)
+                    n += len(lead)
+            content = content[: length - n]  # the last line may have had no end
+            digest.feed(content)
+            n += len(content)
+    if file is not None:
+        yield row()
+
+
+def _finish(batches: Batches) -> Batches:
+    for batch in batches:
+        paths, lengths, _, done, states = (c.to_pylist() for c in batch.columns)
+        for path, length, n in zip(paths, lengths, done):
+            if n != length:
+                raise ValueError(f"{path}: {n} of {length} bytes were read; the file changed")
+        yield pa.RecordBatch.from_pydict({"path": paths, "length": pa.array(lengths, pa.int64()), "sha256": [_Sha256(s).hexdigest() for s in states]})
+
+
+def _chained(lines: DataFrame, files: DataFrame, steps: int, block: int) -> DataFrame:
+    """Rows (path, length, sha256) of the files (path, length), whose lines are given as (path, start of their block, line).
+
+    The blocks are kept in the shared folder in chunks, by step. A step hashes the next `block` bytes of every file, each
+    file in one task, which begins with the state that the step before has left.
+    """
+    spark = lines.sparkSession
+    where = scratch_path(spark, "chunks")
+    chunks = lines.mapInArrow(_chunks, "path string, start long, part int, content binary").withColumn("step", F.expr(f"cast(start div {block} as int)"))
+    chunks.write.partitionBy("step").option("compression", "uncompressed").option("parquet.block.size", 32 << 20).parquet(where)
+    chunks = spark.read.schema("path string, start long, part int, content binary, step int").parquet(where)
+    # Spark's readers of lines drop a byte order mark; nothing else is shorter than the file.
+    met = materialized(chunks.select("path", F.length("content").alias("size")).groupBy("path").agg(F.sum("size").alias("size")), "met")
+    lead = F.when(F.col("size") < F.col("length"), F.unhex(F.lit("EFBBBF")))
+    states = files.join(met, "path", "left").select("path", "length", lead.alias("lead"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("state"))
+    states = materialized(states, "states")
+    for step in range(steps):
+        now = chunks.filter(F.col("step") == step).join(states, "path").repartition("path").sortWithinPartitions("path", "start", "part")
+        after = now.select("path", "length", "lead", "n", "state", "content").mapInArrow(_advance, _STATES)
+        after = materialized(after, "advanced")
+        states = materialized(states.join(after.select("path"), "path", "left_anti").unionByName(after), "states")
+    return states.select("path", "length", "lead", "n", "state").mapInArrow(_finish, "path string, length long, sha256 string")
+
+
+def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*", block: int = BLOCK_BYTES) -> DataFrame:
+    """One row per file: path relative to the root, size and SHA-256. Files are hashed where they are read.
+
+    A file of up to `block` bytes is one value. A larger one is cut at its line ends, wherever they are, into blocks that
+    tasks read side by side, and its checksum, a chain over all bytes, goes from task to task as a state of 112 bytes. No
+    task reads much more than `block` and one of Spark's file partitions, unless a line is longer. Whole in one task stay
+    large files with the names of packed ones (Spark would unpack them), and all where OpenSSL does not hand out the state.
+    """
+    def source(kind: str):
+        return spark.read.format(kind).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+
     root = path.rstrip("/") + "/"
-    relative = F.substring_index("path", root, -1)
-    return files.select(
-        relative.alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    relative = F.substring_index("path", root, -1).alias("relative_path")
+    files = source("binaryFile").load(path)
+    name = F.col("_metadata.file_path")
+    cut = (F.col("length") > block) & ~name.rlike(_UNPACKED)
+    largest = files.filter(cut).agg(F.max("length")).first()[0] if _crypto() else None
+    manifest = (relative, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    if largest is None:
+        return files.select(*manifest)
+    # Tests that Spark applies before it reads a file.
+    out = files.filter(F.col("length") <= block).select(*manifest)
+    out = out.unionByName(files.filter(F.col("length") > block).filter(name.rlike(_UNPACKED)).select(*manifest))
+    large = files.filter(cut).select(name.alias("file"), F.col("length").alias("size_bytes"), relative)
+    lines = source("text").option("lineSep", "\n").load(path).filter((F.col("_metadata.file_size") > block) & ~name.rlike(_UNPACKED))
+    lines = lines.select(name.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    found = _chained(lines, large.select(F.col("file").alias("path"), F.col("size_bytes").alias("length")), -(-largest // block), block)
+    return out.unionByName(large.join(found, F.col("file") == F.col("path")).select("relative_path", "size_bytes", "sha256"))
 
 
 def manifest_from(df: DataFrame, name: Column, content: Column) -> DataFrame:
